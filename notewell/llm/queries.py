@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, sharding, token_counts
+from . import language_id, media, packing, sharding, token_counts
 from .runtime import prepare, table
 
 
@@ -20,10 +20,22 @@ def op2_offset_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "section", "char_start", "char_end", F.col("n_tokens").cast("long").alias("n_tokens"), "doc_tokens")
 
 
+def op7_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), 1024)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op9_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.text_media(table(spark, sf_dir, "documents")))
 
 
+def op10_piece_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = language_id.fit(docs.where(~held_out))
+    return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return {k: (lambda s, d, f=f: f(prepare(s), d)) for k, f in sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0]))}
