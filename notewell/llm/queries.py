@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, media, packing, sharding, token_counts
+from . import language_id, media, near_dup, packing, sharding, token_counts
 from .runtime import prepare, table
 
 
@@ -20,6 +20,10 @@ def op2_offset_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "section", "char_start", "char_end", F.col("n_tokens").cast("long").alias("n_tokens"), "doc_tokens")
 
 
+def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.link(table(spark, sf_dir, "documents"), k=4, threshold=0.8)
+
+
 def op7_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), 1024)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
