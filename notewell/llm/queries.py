@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, media, near_dup, packing, sharding, token_counts
+from . import decontaminate, language_id, line_dedup, media, near_dup, packing, sharding, token_counts
 from .runtime import prepare, table
 
 
@@ -20,6 +20,11 @@ def op2_offset_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "section", "char_start", "char_end", F.col("n_tokens").cast("long").alias("n_tokens"), "doc_tokens")
 
 
+def op4_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", F.col("dropped").alias("dropped_lines"), F.crc32("text").alias("kept_crc32"), F.octet_length("text").cast("long").alias("kept_bytes"))
+
+
 def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.link(table(spark, sf_dir, "documents"), k=4, threshold=0.8)
 
@@ -29,6 +34,10 @@ def op7_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.text_media(table(spark, sf_dir, "documents")))
 
