@@ -6,8 +6,10 @@ registers are equal about as often as the sets are similar. Bands of registers b
 estimated jointly from the registers by likelihood, and what may be similar is confirmed on the full sets.
 
 Documents with equal sets form one class from the start, and only class representatives are compared. In each band's bucket all are compared
-with one centre first (the representative that meets the most others); pairs of a bucket that these links leave in different components are
-compared after that, in blocks. So a group of n similar texts costs about n comparisons, and no link between different groups is lost.
+with one centre first (the representative that meets the most others). Buckets that these links leave in more than one component are gone
+through once more, in blocks of bounded size: the registers choose the representatives that may be similar to one of another component, and
+the full sets of those are compared inside the block, which gives back a spanning tree of the links that it confirms. So the rows that are
+made grow with the number of documents, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ REGISTERS = BANDS * ROWS
 GROWTH, TOP = 1.001, 65535
 #: Pairs whose estimated similarity is lower than the threshold by so many standard errors are not confirmed.
 ERRORS = 4.5
-#: Rows of a bucket's block; every two blocks of a bucket meet in one group.
-BLOCK_ROWS = 2048
+#: Rows and shingles of a bucket's block; every two blocks of a bucket meet in one group.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 17
 #: Register pairs held at a time.
 PAIRS_AT_ONCE = 1 << 16
 
@@ -149,6 +151,7 @@ def _bands(classes: DataFrame) -> DataFrame:
             h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), r.shape[:2]).copy()
             for j in range(ROWS):
                 h = mix(h + (r[:, :, j] + np.uint64(1)) * _COEFFICIENT[j])
+            h = (h & ~np.uint64(31)) | np.arange(BANDS, dtype=np.uint64)  # the band stays readable
             yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).astype(np.int64)), pa.array(np.repeat(x.column(0).to_numpy(), BANDS))], ["bucket", "node"])
 
     return classes.select("node", "registers").mapInArrow(run, "bucket long, node long")
@@ -187,59 +190,123 @@ def _prune(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     return skew_lookup(pairs.join(of("a"), "a"), uses.join(of("b"), "b"), ["b"], "_n", 4096).select("a", "b", "ra", "na", "rb", "nb").mapInArrow(run, "a long, b long")
 
 
-def _rest(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs of a bucket whose components differ. members: (bucket, node, comp) of buckets that hold more than one component."""
-    size = members.groupBy("bucket").agg(F.count("*").alias("_n"))
-    n_blocks = F.ceil(F.col("_n") / BLOCK_ROWS).cast("int")
-    rows = members.join(size, "bucket").withColumn("_blocks", n_blocks).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+def _grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Tables of whole groups, from rows sorted by the first ``n_keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    of = lambda x, k: tuple(x.column(c)[k].as_py() for c in range(n_keys))
+    for x in batches:
+        if not x.num_rows:
+            continue
+        held.append(x)
+        last = of(x, x.num_rows - 1)
+        if of(held[0], 0) == last:
+            continue
+        t = pa.Table.from_batches(held)
+        n = t.num_rows - int(np.logical_and.reduce([t.column(c).to_numpy() == v for c, v in enumerate(last)]).sum())
+        yield t.slice(0, n)
+        held = t.slice(n).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _edges(t: pa.Table, n_keys: int) -> tuple[np.ndarray, np.ndarray]:
+    key = np.stack([t.column(c).to_numpy() for c in range(n_keys)])
+    edge = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
+    return edge, np.append(edge[1:], t.num_rows)
+
+
+def _later(a: int, b: int, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows a to b with the ``each`` rows that follow them."""
+    left = np.repeat(np.arange(a, b), each[a:b])
+    return left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(each[a:b]) - each[a:b], each[a:b])
+
+
+def _suspects(t: pa.Table, threshold: float) -> np.ndarray:
+    """Rows that their registers bring near a row of another component, in the first band that the two share.
+
+    Columns: bucket, i, j, node, comp, own block, n_shingles, registers."""
+    edge, stop = _edges(t, 3)
+    regs, n, comp, own = _regs(t.column(7).combine_chunks()), t.column(6).to_numpy(), t.column(4).to_numpy(), t.column(5).to_numpy()
+    within = t.column(1).to_numpy() == t.column(2).to_numpy()
+    band = (t.column(0).to_numpy() & 31).astype(np.int64)
+    each = np.repeat(stop, stop - edge) - np.arange(t.num_rows) - 1
+    reach, a, found = np.cumsum(each), 0, np.zeros(t.num_rows, bool)
+    while a < len(each):
+        b = max(a + 1, int(np.searchsorted(reach, (reach[a - 1] if a else 0) + PAIRS_AT_ONCE)))
+        left, right = _later(a, b, each)
+        apart = (comp[left] != comp[right]) & (within[left] | (own[left] != own[right]))
+        left, right = left[apart], right[apart]
+        if len(left):
+            shared = (regs[left] == regs[right]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band[left]
+            left, right = left[shared], right[shared]
+        if len(left):
+            yes = _likely(regs[left], regs[right], n[left], n[right], threshold)
+            found[left[yes]] = found[right[yes]] = True
+        a = b
+    return found
+
+
+def _tree(node: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links, confirmed on full sets, that join the components of one block where any do."""
+    hundredths, size = round(threshold * 100), np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[which]
+    bit, owner = place[which[keep]], owner[keep]
+    bits = np.zeros((len(sets), -(-int(shared.sum()) // 64) or 1), np.uint64)
+    np.bitwise_or.at(bits, (owner, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    home = {c: c for c in comp.tolist()}
+
+    def root(c: int) -> int:
+        while home[c] != c:
+            home[c] = c = home[home[c]]
+        return c
+
+    out = []
+    step = max(1, (1 << 21) // bits.shape[1])
+    for i in range(len(sets) - 1):
+        own = root(int(comp[i]))
+        other = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(size[i], size[i + 1 :]) >= hundredths * np.maximum(size[i], size[i + 1 :]))) + i + 1
+        for a in range(0, len(other), step):
+            some = other[a : a + step]
+            both = np.bitwise_count(bits[some] & bits[i]).sum(axis=1, dtype=np.int64)
+            for j in some[100 * both >= hundredths * (size[i] + size[some] - both)].tolist():
+                theirs, own = root(int(comp[j])), root(own)
+                if theirs != own:
+                    home[theirs] = own
+                    out.append((int(node[i]), int(node[j])))
+    return out
+
+
+def _rest(members: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Confirmed links (a, b) between different components. members: (bucket, node, comp) of buckets that hold more than one component."""
+    rows = members.join(classes.select("node", "registers", "n_shingles"), "node")
+    size = rows.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("_blocks"), F.count("*").alias("_n"))
+    rows = skew_lookup(rows, size, ["bucket"], "_n", 4096).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    rows = rows.select("bucket", "node", "comp", "_own", other.alias("_other")).select("bucket", "node", "comp", "_own", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
-    rows = rows.join(classes.select("node", "registers", "n_shingles"), "node")
-    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").select("bucket", "i", "j", "node", "comp", "_own", "n_shingles", "registers")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+    rows = rows.select("*", other.alias("_other")).select("bucket", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "node", "comp", "_own", "n_shingles", "registers")
+    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
 
-        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches, 3):
             t = t.combine_chunks()
-            key = np.stack([t.column(c).to_numpy() for c in (0, 1, 2)])
-            edge = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
-            stop = np.append(edge[1:], t.num_rows)
-            regs, n, node, comp, own = _regs(t.column(7).combine_chunks()), t.column(6).to_numpy(), t.column(3).to_numpy(), t.column(4).to_numpy(), t.column(5).to_numpy()
-            end = np.repeat(stop, stop - edge)
-            each = end - np.arange(len(end)) - 1  # later rows of the same group
-            a = 0
-            reach = np.cumsum(each)
-            while a < len(each):
-                b = max(a + 1, int(np.searchsorted(reach, (reach[a - 1] if a else 0) + PAIRS_AT_ONCE)))
-                left = np.repeat(np.arange(a, b), each[a:b])
-                right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(each[a:b]) - each[a:b], each[a:b])
-                apart = (comp[left] != comp[right]) & ((key[1, left] == key[2, left]) | (own[left] != own[right]))
-                left, right = left[apart], right[apart]
-                if len(left):
-                    yes = _likely(regs[left], regs[right], n[left], n[right], threshold)
-                    p, q = node[left[yes]], node[right[yes]]
-                    if len(p):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], ["a", "b"])
-                a = b
+            yes = t.filter(pa.array(_suspects(t, threshold)))
+            yield from yes.select(["bucket", "i", "j", "node", "comp"]).combine_chunks().to_batches()
 
-        for x in batches:
-            if not x.num_rows:
-                continue
-            held.append(x)
-            last = tuple(x.column(c)[x.num_rows - 1].as_py() for c in (0, 1, 2))
-            if tuple(x.column(c)[0].as_py() for c in (0, 1, 2)) == last:
-                continue
-            t = pa.Table.from_batches(held)
-            same = np.logical_and.reduce([t.column(c).to_numpy() == v for c, v in enumerate(last)])
-            n = t.num_rows - int(same.sum())
-            if n:
-                yield from done(t.slice(0, n))
-                held = t.slice(n).combine_chunks().to_batches()
-        if held:
-            yield from done(pa.Table.from_batches(held))
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches, 3):
+            t = t.combine_chunks()
+            node, comp, raw, found = t.column(3).to_numpy(), t.column(4).to_numpy(), t.column(5).combine_chunks(), []
+            for a, b in zip(*_edges(t, 3)):
+                found += _tree(node[a:b], comp[a:b], [np.frombuffer(raw[k].as_buffer(), np.uint64) for k in range(a, b)], threshold)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    near = cut(rows.mapInArrow(suspects, "bucket long, i int, j int, node long, comp long"))
+    full = near.join(sets, "node").select("bucket", "i", "j", "node", "comp", "shingles")
+    return full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(trees, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, k: int = 5, threshold: float = 0.8, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -278,10 +345,7 @@ def link(docs: DataFrame, k: int = 5, threshold: float = 0.8, ident: str = "doc_
     comp = components(links)
     placed = members.join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("_n")).where("x <> y").select("bucket", "_n")
-    rest = _rest(skew_lookup(placed, mixed, ["bucket"], "_n", 4096), classes, threshold)
-    tried = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
-    more = cut(_confirm(rest, sets, threshold))
+    more = cut(_rest(skew_lookup(placed, mixed, ["bucket"], "_n", 4096), classes, sets, threshold))
     comp = cut(components(links.unionByName(more)))
     home = classes.join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("comp"), "copies")
     lowest = home.groupBy("comp").agg(F.min("rep").alias("component_id"))
