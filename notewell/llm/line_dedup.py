@@ -89,7 +89,7 @@ def recurring_lines(docs: DataFrame, least: int = 3, ident: str = "doc_id", text
     of_text = lines.groupBy("template", "_hash").agg(F.min("_id").alias("i"), F.count("*").alias("n"))
     found = of_text.groupBy("template").agg(F.count("*").alias("texts"), F.sum("n").alias("_n"), F.min(F.struct("i", "_hash")).alias("first"))
     found = cut(found.where(F.col("texts") >= least).select("template", F.col("first._hash").alias("first"), "_n"))
-    hits = skew_lookup(lines, found, ["template"], "_n", 4096).where("_hash <> first")
+    hits = skew_lookup(lines, found.drop("_n"), ["template"], found.select("template", "_n")).where("_hash <> first")
     return hits.groupBy("_id", "_hash").agg(F.array_sort(F.collect_set("line")).alias("dropped")).withColumnRenamed("_id", ident)
 
 

@@ -171,9 +171,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([x.column(0).filter(pa.array(keep)), x.column(1).filter(pa.array(keep))], ["a", "b"])
 
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a")
-    uses = pairs.groupBy("b").agg(F.count("*").alias("_n"))
-    two = uses.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
-    return skew_lookup(one, two, ["b"], "_n", 512).select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+    two = pairs.select("b").distinct().join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
+    return skew_lookup(one, two, ["b"], pairs.groupBy("b").agg(F.count("*").alias("_n")), 512).select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
 def _prune(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -186,8 +185,7 @@ def _prune(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([x.column(0).filter(yes), x.column(1).filter(yes)], ["a", "b"])
 
     of = lambda c: classes.select(F.col("node").alias(c), F.col("registers").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}"))
-    uses = pairs.groupBy("b").agg(F.count("*").alias("_n"))
-    return skew_lookup(pairs.join(of("a"), "a"), uses.join(of("b"), "b"), ["b"], "_n", 4096).select("a", "b", "ra", "na", "rb", "nb").mapInArrow(run, "a long, b long")
+    return skew_lookup(pairs.join(of("a"), "a"), pairs.select("b").distinct().join(of("b"), "b"), ["b"], pairs.groupBy("b").agg(F.count("*").alias("_n"))).select("a", "b", "ra", "na", "rb", "nb").mapInArrow(run, "a long, b long")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
@@ -284,7 +282,8 @@ def _rest(members: DataFrame, classes: DataFrame, sets: DataFrame, threshold: fl
     """Confirmed links (a, b) between different components. members: (bucket, node, comp) of buckets that hold more than one component."""
     rows = members.join(classes.select("node", "registers", "n_shingles"), "node")
     size = rows.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("_blocks"), F.count("*").alias("_n"))
-    rows = skew_lookup(rows, size, ["bucket"], "_n", 4096).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    size = cut(size)
+    rows = skew_lookup(rows, size.drop("_n"), ["bucket"], size).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     rows = rows.select("*", other.alias("_other")).select("bucket", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "node", "comp", "_own", "n_shingles", "registers")
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
@@ -321,13 +320,13 @@ def link(docs: DataFrame, k: int = 5, threshold: float = 0.8, ident: str = "doc_
     full = sketched.where("node is not null")
     classes = cut(full.groupBy("node").agg(F.min(F.struct(F.col(ident).alias("i"), "registers", "n_shingles")).alias("x"), F.count("*").alias("copies")).select("node", F.col("x.i").alias("rep"), "x.registers", "x.n_shingles", "copies"))
     bands = _bands(classes)
-    crowd = bands.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1")
-    members = cut(skew_lookup(bands, crowd.withColumn("size", F.col("_n")), ["bucket"], "_n", 4096))  # bucket, node, size
+    crowd = cut(bands.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1"))
+    members = cut(skew_lookup(bands, crowd.select("bucket", F.col("_n").alias("size")), ["bucket"], crowd))  # bucket, node, size
     meets = members.groupBy("node").agg(F.sum("size").alias("meets"))
     ranked = members.join(meets, "node")
-    centre = ranked.groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("node").cast("decimal(20,0)")).alias("low"), "node")).alias("c"), F.count("*").alias("_n")).select("bucket", F.col("c.node").alias("b"), "_n")
-    star = skew_lookup(members.select("bucket", F.col("node").alias("a")), centre, ["bucket"], "_n", 4096).where("a <> b").select("a", "b").distinct()
-    star = cut(_prune(star, classes, threshold))
+    centre = ranked.groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("node").cast("decimal(20,0)")).alias("low"), "node")).alias("c")).select("bucket", F.col("c.node").alias("b"))
+    star = skew_lookup(members.select("bucket", F.col("node").alias("a")), centre, ["bucket"], crowd).where("a <> b").select("a", "b").distinct()
+    star = cut(_prune(cut(star), classes, threshold))
 
     wanted = cut(members.select("node").distinct().join(classes.select("node", "rep"), "node"))
 
@@ -343,13 +342,13 @@ def link(docs: DataFrame, k: int = 5, threshold: float = 0.8, ident: str = "doc_
     sets = cut(docs.select(ident, text).join(wanted, same).select("node", text).mapInArrow(sets_of, "node long, shingles binary").dropDuplicates(["node"]))
     links = cut(_confirm(star, sets, threshold))
     comp = components(links)
-    placed = members.join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("_n")).where("x <> y").select("bucket", "_n")
-    more = cut(_rest(skew_lookup(placed, mixed, ["bucket"], "_n", 4096), classes, sets, threshold))
+    placed = cut(members.join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp")))
+    mixed = cut(placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("_n")).where("x <> y").select("bucket", "_n"))
+    more = cut(_rest(cut(skew_lookup(placed, mixed.select("bucket"), ["bucket"], mixed)), classes, sets, threshold))
     comp = cut(components(links.unionByName(more)))
     home = classes.join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("comp"), "copies")
     lowest = home.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = home.join(lowest, "comp").select("node", "component_id", "copies")
-    found = skew_lookup(full.select(ident, "n_shingles", "node"), named, ["node"], "copies", 4096).select(ident, "n_shingles", "component_id")
+    named = home.join(lowest, "comp").select("node", "component_id")
+    found = skew_lookup(full.select(ident, "n_shingles", "node"), named, ["node"], classes.select("node", F.col("copies").alias("_n"))).select(ident, "n_shingles", "component_id")
     alone = sketched.where("node is null").select(ident, "n_shingles", F.col(ident).alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.col(ident).eqNullSafe(F.col("component_id")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, media, near_dup, packing, sharding, token_counts
+from . import decontaminate, language_id, line_dedup, media, near_dup, packing, sharding, token_counts, url_filters
 from .runtime import prepare, table
 
 
@@ -20,6 +20,10 @@ def op2_offset_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "section", "char_start", "char_end", F.col("n_tokens").cast("long").alias("n_tokens"), "doc_tokens")
 
 
+def op3_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filter_urls(table(spark, sf_dir, "pages")).drop("share")
+
+
 def op4_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", F.col("dropped").alias("dropped_lines"), F.crc32("text").alias("kept_crc32"), F.octet_length("text").cast("long").alias("kept_bytes"))

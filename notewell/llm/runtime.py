@@ -61,13 +61,17 @@ def weighted_splitters(slim: DataFrame, key: str, size: str, ident: str, n_range
     return np.unique(keys[np.minimum(at, len(keys) - 1)])
 
 
-def skew_lookup(left: DataFrame, right: DataFrame, keys: list[str], count: str, spread: int, how: str = "inner") -> DataFrame:
-    """Join ``left`` to the unique keys of ``right``, whose column ``count`` tells how many rows of ``left`` have the key.
+def skew_lookup(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, spread: int = 4096, how: str = "inner") -> DataFrame:
+    """Join ``left`` to ``right``, whose keys are unique, where few keys may have very many rows of ``left``.
 
-    Rows of a key with more than ``spread`` rows are dealt over several tasks: the left side draws a salt, the right row is repeated for
-    each. Hot keys are those above a thousandth of all rows, so the list of them that is broadcast has a thousand rows at most.
+    ``counts`` has the keys and ``_n``, the rows of ``left`` with each. Keys with more than ``spread`` rows and more than a thousandth of all
+    rows are hot; there are fewer than a thousand of them, and only their list is broadcast. Their rows are dealt over several tasks by a salt
+    that hashes the other columns, so a task that runs again deals alike, and their row of ``right`` is repeated for each salt.
     """
-    hot = right.where(F.col(count) > spread).select(*keys, F.least(F.ceil(F.col(count) / spread), F.lit(4096)).cast("int").alias("_salts"))
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.least(F.greatest(F.ceil(F.col(count) / spread), F.lit(1)), F.lit(4096)).cast("int") - 1)))
-    left = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.floor(F.rand(11) * F.col("_salts")).cast("int"))).drop("_salts")
-    return left.join(right.drop(count), [*keys, "_salt"], how).drop("_salt")
+    own = [c for c, kind in left.dtypes if c not in keys and kind in ("bigint", "int", "string", "double")]
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    most = max(spread, total // 1000)
+    hot = F.broadcast(cut(counts.where(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_salts"))))
+    left = left.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit(11), *own), F.col("_salts").cast("long")).cast("int"))).drop("_salts")
+    right = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
