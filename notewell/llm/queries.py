@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, media, near_dup, packing, sharding, token_counts, url_filters
+from . import chat, decontaminate, language_id, line_dedup, media, near_dup, packing, sharding, token_counts, url_filters
 from .runtime import prepare, table
 
 
@@ -29,6 +29,10 @@ def op4_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.col("dropped").alias("dropped_lines"), F.crc32("text").alias("kept_crc32"), F.octet_length("text").cast("long").alias("kept_bytes"))
 
 
+def op5_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_tool_calls(table(spark, sf_dir, "conversations"))
+
+
 def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.link(table(spark, sf_dir, "documents"), k=4, threshold=0.8)
 
