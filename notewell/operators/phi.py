@@ -18,9 +18,9 @@ def service_findings(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def service_summary(notes: DataFrame, text: str = "text") -> DataFrame:
+def service_summary(notes: DataFrame, ident: str = "note_id", text: str = "text") -> DataFrame:
     """(type, findings, notes) over a table of notes."""
-    found = notes.select(F.monotonically_increasing_id().alias("_n"), F.explode(service_findings(F.col(text))).alias("s"))
+    found = notes.select(F.col(ident).alias("_n"), F.explode(service_findings(F.col(text))).alias("s"))
     return found.groupBy(F.col("s.label").alias("type")).agg(F.count("*").alias("findings"), F.countDistinct("_n").alias("notes"))
 
 

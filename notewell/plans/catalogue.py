@@ -441,7 +441,7 @@ MED_SQL = f"""with n as (select note_id as doc_id, {PREPROCESS} as text from ({N
 d as (select doc_id, regexp_extract(lower(text), '({'|'.join(SIX)})') as drug, regexp_extract(lower(text), '\\d+ mg') as dosage,
  coalesce(nullif(regexp_extract(lower(text), {q.quote(rf'\b{rules.FREQUENCY}\b')}, 0), ''), null) as frequency from n)
 select doc_id, 1 as med_no, upper(drug[1]) || drug[2:] as drug, nullif(dosage, '') as strength, nullif(dosage, '') as dosage,
- case when frequency in ('once daily', 'twice daily') then frequency when frequency = 'daily' then 'daily' else frequency end as frequency, null as duration, null as route, null as form from d"""
+ case when frequency in ('once daily', 'twice daily') then frequency when frequency = 'daily' then 'daily' else frequency end as frequency, null::varchar as duration, null::varchar as route, null::varchar as form from d"""
 
 
 @query(MED_SQL)
