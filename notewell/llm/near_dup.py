@@ -121,7 +121,7 @@ def _regs(column: pa.Array) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """ident, n_shingles, node (a hash of the set; null for an empty one), registers (binary; null likewise)."""
+    """ident, text_hash, n_shingles, node (a hash of the set; null for an empty one), registers (binary; null likewise)."""
     prepare(docs.sparkSession)
     kind = dict(docs.dtypes)[ident]
 
@@ -135,9 +135,9 @@ def sketch(docs: DataFrame, k: int, ident: str = "doc_id", text: str = "text") -
                 for s in sets:
                     node.append(int((mix(s * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64)) if len(s) else None)
                     regs.append(next(rows).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(regs, pa.binary())], [ident, "n_shingles", "node", "registers"])
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(2), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(regs, pa.binary())], [ident, "text_hash", "n_shingles", "node", "registers"])
 
-    return docs.select(ident, text).mapInArrow(run, f"`{ident}` {kind}, n_shingles long, node long, registers binary")
+    return docs.select(ident, text, F.xxhash64(text)).mapInArrow(run, f"`{ident}` {kind}, text_hash long, n_shingles long, node long, registers binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -318,7 +318,8 @@ def link(docs: DataFrame, k: int = 5, threshold: float = 0.8, ident: str = "doc_
     """
     sketched = cut(sketch(docs, k, ident, text))
     full = sketched.where("node is not null")
-    classes = cut(full.groupBy("node").agg(F.min(F.struct(F.col(ident).alias("i"), "registers", "n_shingles")).alias("x"), F.count("*").alias("copies")).select("node", F.col("x.i").alias("rep"), "x.registers", "x.n_shingles", "copies"))
+    first = F.min(F.struct(F.col(ident).isNull().alias("none"), F.col(ident).alias("i"), "text_hash", "registers", "n_shingles"))
+    classes = cut(full.groupBy("node").agg(first.alias("x"), F.count("*").alias("copies")).select("node", F.col("x.i").alias("rep"), F.col("x.text_hash").alias("rep_hash"), "x.registers", "x.n_shingles", "copies"))
     bands = _bands(classes)
     crowd = cut(bands.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1"))
     members = cut(skew_lookup(bands, crowd.select("bucket", F.col("_n").alias("size")), ["bucket"], crowd))  # bucket, node, size
@@ -328,7 +329,7 @@ def link(docs: DataFrame, k: int = 5, threshold: float = 0.8, ident: str = "doc_
     star = skew_lookup(members.select("bucket", F.col("node").alias("a")), centre, ["bucket"], crowd).where("a <> b").select("a", "b").distinct()
     star = cut(_prune(cut(star), classes, threshold))
 
-    wanted = cut(members.select("node").distinct().join(classes.select("node", "rep"), "node"))
+    wanted = cut(members.select("node").distinct().join(classes.select("node", "rep", "rep_hash"), "node"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -338,7 +339,7 @@ def link(docs: DataFrame, k: int = 5, threshold: float = 0.8, ident: str = "doc_
                 keep = [i for i, v in enumerate(node) if v == own[i]]
                 yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["node", "shingles"])
 
-    same = F.col("rep").eqNullSafe(F.col(ident))
+    same = F.col("rep").eqNullSafe(F.col(ident)) & (F.col("rep_hash") == F.xxhash64(text))
     sets = cut(docs.select(ident, text).join(wanted, same).select("node", text).mapInArrow(sets_of, "node long, shingles binary").dropDuplicates(["node"]))
     links = cut(_confirm(star, sets, threshold))
     comp = components(links)
