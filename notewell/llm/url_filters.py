@@ -97,3 +97,38 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, id
     out = skew_lookup(read.select(ident, "host", "path", "rule", "action", "way"), judged, ["way"], t.select("way", F.col("n").alias("_n")))
     verdict = F.coalesce("action", F.when(F.col("share") >= BLOCK_FROM, "block").otherwise("allow"))
     return out.select(ident, "host", "path", "rule", verdict.alias("verdict"), "template", "share")
+
+
+def oracle(rules: list[tuple[str, str]] | None = None) -> str:
+    """DuckDB SQL for the rows of filter_urls over ``pages``, without the share."""
+
+    def fits(rule: str) -> str:
+        name, slash, rest = rule.partition("/")
+        return f"(host = '{name}' or ends_with(host, '.{name}')) and starts_with(path, '{slash}{rest}')"
+
+    by_length = sorted(RULES if rules is None else rules, key=lambda r: (-len(r[1]), r[1]))
+    which = "case " + " ".join(f"when {fits(r)} then '{r}'" for _, r in by_length) + " end"
+    action = "case " + " ".join(f"when {fits(r)} then '{a}'" for a, r in by_length) + " end"
+    sql = f"""with r as (select page_id, case when strpos(coalesce(url, ''), '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+h as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from r),
+s as (select *, {which} as rule, {action} as act, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(x, '[0-9]+', '{{n}}', 'g')) as segs from h),
+w0 as (select *, len(segs) > {LEVELS} as deep, host || chr(1) as node0 from s)"""
+    for d in range(1, LEVELS + 1):
+        sql += f""",
+c{d} as (select node{d - 1}, segs[{d}] as seg, count(*) as n from w{d - 1} where segs[{d}] is not null group by 1, 2),
+k{d} as (select node{d - 1}, seg from (select *, sum(n) over (partition by node{d - 1}) as t from c{d}) where n * {RARE} >= t),
+w{d} as (select w.*, case when w.segs[{d}] is null then null when k.seg is not null then k.seg else '{{*}}' end as g{d},
+ w.node{d - 1} || coalesce(case when w.segs[{d}] is null then null when k.seg is not null then k.seg else '{{*}}' end, '') || chr(1) as node{d} from w{d - 1} w left join k{d} k on k.node{d - 1} = w.node{d - 1} and k.seg = w.segs[{d}])"""
+    joined = " || ".join(f"coalesce('/' || g{d}, '')" for d in range(1, LEVELS + 1))
+    sql += f""",
+t as (select *, coalesce(g1, '') as g, case when {joined} = '' then '/' else {joined} end || case when deep then '/**' else '' end as template from w{LEVELS}),
+leaf as (select host, g, template, count(act) as n3, count(*) filter (where act = 'block') as b3 from t group by 1, 2, 3),
+branch as (select host, g, sum(n3)::double as n2, sum(b3)::double as b2 from leaf group by 1, 2),
+hosts as (select host, sum(n2) as n1, sum(b2) as b1 from branch group by 1), ways as (select g, sum(n2) as n0, sum(b2) as b0 from branch group by 1),
+p0 as (select leaf.host, leaf.g, leaf.template, n0, b0, n1, b1, n2, b2, n3::double as n3, b3::double as b3, (select (sum(b2) + 1.0::double) / (sum(n2) + 2.0::double) from branch) as share
+ from leaf join branch using (host, g) join hosts using (host) join ways using (g))"""
+    for k in range(4):
+        p, n, b = "share", f"n{k}", f"b{k}"
+        finer = f"case when {n} > 0 and ({b} - {n} * {p}) * ({b} - {n} * {p}) >= {APART}::double * {n} * {p} * (1.0::double - {p}) then ({b} + {WEIGHT}::double * {p}) / ({n} + {WEIGHT}::double) else {p} end"
+        sql += f",\np{k + 1} as (select * replace ({finer} as share) from p{k})"
+    return sql + f"\nselect page_id, t.host, path, rule, coalesce(act, case when share >= {BLOCK_FROM}::double then 'block' else 'allow' end) as verdict, template from t join p4 using (host, g, template)"
