@@ -22,7 +22,8 @@ def test_law_slots_groups(spark):
         assert sorted(g.slot) == list(range(len(g)))
     small = out[out.doc_id.isin([i for i, t, _ in rows if t and t.startswith("small")])]
     assert small.shard.nunique() == 1
-    assert shard_by_bytes(df).toPandas().sort_values("doc_id").values.tolist() == out.sort_values("doc_id").values.tolist()
+    again = shard_by_bytes(df).toPandas()
+    assert again.sort_values("doc_id")[["doc_id", "shard", "slot"]].values.tolist() == out.sort_values("doc_id")[["doc_id", "shard", "slot"]].values.tolist()
 
 
 def test_empty_few_and_repeated(spark):
