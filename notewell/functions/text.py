@@ -45,11 +45,14 @@ def expand_shorthand(text: Column) -> Column:
 
 
 def strip_labels(text: Column) -> Column:
-    """Take entity labels out of words, then those that stand alone."""
-    for label in rules.TEXT_LABELS:
-        text = F.regexp_replace(text, rf"(\w*){label}(\w*)", "$1$2")
-        text = F.regexp_replace(text, rf"\s*\b{label}\b\s*", " ")
-    return squeeze(F.coalesce(text, F.lit("")))
+    """Take entity labels out of words, then those that stand alone, label by label; texts without a label's letters skip its patterns."""
+
+    def without(t: Column, label: Column) -> Column:
+        joined = F.regexp_replace(t, F.concat(F.lit(r"(\w*)"), label, F.lit(r"(\w*)")), F.lit("$1$2"))
+        alone = F.regexp_replace(joined, F.concat(F.lit(r"\s*\b"), label, F.lit(r"\b\s*")), F.lit(" "))
+        return F.when(t.contains(label), alone).otherwise(t)
+
+    return squeeze(F.aggregate(F.array(*[F.lit(x) for x in rules.TEXT_LABELS]), F.coalesce(text, F.lit("")), without))
 
 
 def clean_ocr(text: Column) -> Column:

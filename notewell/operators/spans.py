@@ -6,6 +6,8 @@ spans stay in an array of the note's row until a relational step explodes them.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from ..functions.text import let
 SPAN = "struct<text:string,label:string,start:int,end:int,score:double,layer:int>"
 
 
-def spans(text: Column, pattern: str | Column, label: str | Column, score: float, layer: int = 0, shown: Column | None = None) -> Column:
+def spans(text: Column, pattern: str | Column, label: str | Column, score: float | Column, layer: int = 0, shown: Column | None = None) -> Column:
     """Array of SPAN for all matches; a pattern may not match an empty string. ``shown`` is the text to cut the spans from (same length), if another."""
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
     name = F.lit(label) if isinstance(label, str) else label
@@ -25,7 +27,7 @@ def spans(text: Column, pattern: str | Column, label: str | Column, score: float
         start = s["at"] + F.length(x["g"])
         end = start + F.length(x["m"])
         part = F.substring(shown, start + 1, F.length(x["m"])) if shown is not None else x["m"]
-        span = F.struct(part.alias("text"), name.alias("label"), start.alias("start"), end.alias("end"), F.lit(float(score)).alias("score"), F.lit(layer).alias("layer"))
+        span = F.struct(part.alias("text"), name.alias("label"), start.alias("start"), end.alias("end"), (score if isinstance(score, Column) else F.lit(float(score))).alias("score"), F.lit(layer).alias("layer"))
         return F.struct(end.alias("at"), F.concat(s["out"], F.array(span.cast(SPAN))).alias("out"))
 
     def placed(found: Column) -> Column:
@@ -56,21 +58,19 @@ def condition_spans(text: Column, upto: str = "DURATION") -> Column:
 
     A pattern is run only on texts that contain one of its words, which a plain substring search tells.
     """
-    low = F.lower(text)
     groups = [(rf"\b({p})\b", p.split("|"), "DISEASE", 0.85) for p in rules.DISEASES]
     if upto != "DISEASE":
         groups += [(rf"\b({p})\b", p.split("|"), "SYMPTOM", 0.85) for p in rules.SYMPTOMS]
     if upto == "DURATION":
         groups += [(p, ["day", "week", "month", "year", "ago"], "DURATION", 0.8) for p in rules.DURATIONS]
-    empty = F.array().cast(f"array<{SPAN}>")
+    # one literal table of patterns and one body over it: a copy of the body for each pattern would make the plan eighty times as large
+    listed = F.from_json(F.lit(json.dumps([{"p": p, "w": w, "l": k, "s": c} for p, w, k, c in groups])), "array<struct<p:string,w:array<string>,l:string,s:double>>")
 
-    def of(pattern: str, words: list[str], label: str, score: float) -> Column:
-        some = low.contains(words[0])
-        for w in words[1:]:
-            some = some | low.contains(w)
-        return F.when(some, spans(low, pattern, label, score, 5, text)).otherwise(empty)
+    def of(low: Column) -> Column:
+        some = F.filter(listed, lambda g: F.exists(g["w"], lambda w: low.contains(w)))
+        return F.flatten(F.transform(some, lambda g: spans(low, g["p"], g["l"], g["s"], 5, text)))
 
-    return first_cover(F.concat(*[of(*g) for g in groups]))
+    return first_cover(let(F.lower(text), of))
 
 
 def labelled_spans(text: Column, label: str) -> Column:
