@@ -810,7 +810,7 @@ def audit_log_rows(s, d):
 
 @query()
 def ab_assign(s, d):
-    return table(s, d, "events").select("event_id", service.assign_model(F.col("event_id"), ["biobert", "pubmedbert"]).alias("model"))
+    return table(s, d, "events").select("event_id", service.assign_model(F.col("event_id"), ["general", "clinical"]).alias("model"))
 
 
 @query("select conv_id as batch, (row_number() over (partition by conv_id order by turn) - 1)::int as index, not (trim(text) = '' or length(text) > 400) as success, case when trim(text) = '' then 'Text cannot be empty' when length(text) > 400 then 'Text is too long' end as error from conversations")
