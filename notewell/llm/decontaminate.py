@@ -4,7 +4,8 @@ Documents are read as passages of WINDOW words, each half overlapping the next.
 passage matrix is taken to SKETCH columns by a sparse random sign matrix, the partitions' Gram matrices of that are added up, and their
 eigenvectors give the singular vectors and values: a randomised singular value decomposition in one pass. The first few directions, which all
 passages of a language share, are left out, and the rest weigh alike. Every passage is compared with every benchmark item in this space by
-cosine, in blocks of items. A near passage is confirmed by the longest common subsequence of words between the item and the text around the
+cosine, in blocks of items. Directions that a very frequent item spans may be among those left out, so a step that shares SHINGLE words in a row
+with an item is a candidate too, whatever its cosine. A near passage is confirmed by the longest common subsequence of words between the item and the text around the
 passage; where that is middling, the item's answer (its last sentence) must be there word for word.
 """
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytewords import Hashes, blocks, spans
+from .bytewords import Hashes, blocks, mix, spans
 from .runtime import prepare
 
 WINDOW = 32
@@ -26,6 +27,8 @@ TERMS, SKETCH, SHARED = 1 << 15, 256, 16
 #: Least cosine of a candidate, least share of an item's words in common order, and the least where its answer is found word for word.
 COSINE, SURE, WITH_ANSWER = 0.4, 0.6, 0.45
 ANSWER_WORDS = 4
+#: Words in a row that a text must share with an item to be a candidate without the cosine; an item of fewer words must be there whole.
+SHINGLE = 3
 ITEM_BLOCK = 1024
 _RUN = 4096
 
@@ -67,6 +70,17 @@ def sketches(hashes: np.ndarray, first: np.ndarray, idf: np.ndarray) -> np.ndarr
     return out
 
 
+def shingles(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, hashes) of the runs of k words that lie within a row."""
+    n = max(len(hashes) - k + 1, 0)
+    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    out = np.zeros(n, np.uint64)
+    for j in range(k):
+        out = mix(out + hashes[j : n + j])
+    at = np.flatnonzero(row[:n] == row[k - 1 :]) if n else np.empty(0, np.int64)
+    return at, out[at]
+
+
 def windows(sums: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Each step with the next one of its row."""
     out = sums.copy()
@@ -179,6 +193,29 @@ class Items:
         q = np.array(queries, np.float32).reshape(-1, space.shape[1])
         self.queries = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
         self.owner = np.array(self.owner, np.int64)
+        self.shingles = [self._index(k) for k in sorted({min(len(w), SHINGLE) for w in self.words if len(w)})]
+
+    def _index(self, k: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """(k, ascending hashes, their items, which low bits occur) of the runs of k words of the items that are looked up by k words."""
+        own = [(shingles(w, np.array([0, len(w)]), k)[1], i) for i, w in enumerate(self.words) if min(len(w), SHINGLE) == k]
+        pairs = sorted({(h, i) for runs, i in own for h in runs.tolist()})
+        key = np.array([h for h, _ in pairs], np.uint64)
+        low = np.zeros(1 << 20, bool)
+        low[key & np.uint64(len(low) - 1)] = True
+        return k, key, np.array([i for _, i in pairs], np.int64), low
+
+    def _sharing(self, hashes: np.ndarray, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Distinct pairs (step, item), as step * items + item, that share a run of words."""
+        out = [np.empty(0, np.int64)]
+        for k, key, item, low in self.shingles:
+            at, run = shingles(hashes, rows, k)
+            maybe = low[run & np.uint64(len(low) - 1)]
+            at, run = at[maybe], run[maybe]
+            a, b = np.searchsorted(key, run), np.searchsorted(key, run, "right")
+            n = b - a
+            step = np.repeat(np.searchsorted(first, at, "right") - 1, n)
+            out.append(step * len(self.words) + item[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        return np.unique(np.concatenate(out))
 
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, float, bool]]:
         """(row, item, first word, common words, cosine, answer found) of a block's confirmed passages: the best of each row and item."""
@@ -191,25 +228,36 @@ class Items:
         v = windows(sketches(hashes, first, self.idf), owner) @ self.space
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
         best: dict[tuple[int, int], tuple] = {}
+        seen: set[int] = set()
+
+        def judge(s: int, i: int, cosine: float) -> None:
+            row, item = int(owner[s]), self.words[i]
+            lo = max(int(rows[row]), int(first[s]) - len(item))
+            hi = min(int(rows[row + 1]), int(first[s]) + WINDOW + len(item))
+            near = hashes[lo:hi]
+            hit = np.isin(near, self.sets[i])
+            if hit.sum() < WITH_ANSWER * len(item):
+                return
+            got, at = self._best(item, near, hit)
+            found = got >= WITH_ANSWER * len(item) and _holds(near, self.answers[i])
+            if got >= SURE * len(item) or found:
+                old = best.get((row, i))
+                now = (row, i, lo + at - int(rows[row]), got, cosine, found)
+                if old is None or (now[3], now[4]) > (old[3], old[4]):
+                    best[row, i] = now
+
         for a in range(0, len(v), 4096):
             for b in range(0, len(self.queries), ITEM_BLOCK):
                 c = v[a : a + 4096] @ self.queries[b : b + ITEM_BLOCK].T
                 for s, q in zip(*np.nonzero(c >= COSINE)):
-                    i, row = int(self.owner[b + q]), int(owner[a + s])
-                    item = self.words[i]
-                    lo = max(int(rows[row]), int(first[a + s]) - len(item))
-                    hi = min(int(rows[row + 1]), int(first[a + s]) + WINDOW + len(item))
-                    near = hashes[lo:hi]
-                    hit = np.isin(near, self.sets[i])
-                    if hit.sum() < WITH_ANSWER * len(item):
-                        continue
-                    got, at = self._best(item, near, hit)
-                    found = got >= WITH_ANSWER * len(item) and _holds(near, self.answers[i])
-                    if got >= SURE * len(item) or found:
-                        old = best.get((row, i))
-                        now = (row, i, lo + at - int(rows[row]), got, float(c[s, q]), found)
-                        if old is None or (now[3], now[4]) > (old[3], old[4]):
-                            best[row, i] = now
+                    i = int(self.owner[b + q])
+                    seen.add((a + int(s)) * len(self.words) + i)
+                    judge(a + int(s), i, float(c[s, q]))
+        for pair in self._sharing(hashes, rows, first).tolist():
+            s, i = divmod(pair, len(self.words))
+            whole = best.get((int(owner[s]), i))
+            if pair not in seen and (whole is None or whole[3] < len(self.words[i])):
+                judge(s, i, float((self.queries[self.owner == i] @ v[s]).max()))
         return list(best.values())
 
     @staticmethod

@@ -52,3 +52,25 @@ def test_empty_sides(spark):
     df, bench = spark.createDataFrame(docs[:5], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert D.leaks(df.limit(0), bench).count() == 0 and D.leaks(df, bench.limit(0)).count() == 0
     assert D.decontaminate(df, bench.limit(0)).count() == 5
+
+
+def test_finds_an_item_that_a_third_of_the_rows_hold(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(900)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    item, held = say(30) + ". " + say(7) + ".", {}
+    for i in range(0, 900, 3):
+        w = item.split()
+        if i % 4 == 0:
+            for j in rng.sample(range(len(w)), len(w) // 4):
+                w[j] = rng.choice(words)
+        held[i] = f"{say(rng.randint(10, 50))} {' '.join(w)} {say(rng.randint(10, 50))}"
+    df = spark.createDataFrame([(i, held.get(i) or say(rng.randint(20, 300))) for i in range(900)], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(0, item), (1, say(40)), (2, "unheard words")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.leaks(df, bench).collect()} == {(i, 0) for i in held}
+
+
+def test_short_items_are_found_whole(spark):
+    df = spark.createDataFrame([(i, f"some words {'unheard of' if i % 2 else 'of unheard'} among the others {i}") for i in range(20)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, "Unheard of!")], "item_id long, text string")
+    assert {r.doc_id for r in D.leaks(df, bench).collect() if r.common_words == 2} == set(range(1, 20, 2))
