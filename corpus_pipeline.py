@@ -26,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take recurring lines out of the texts; n_chars follows the new text. A document that held nothing but lines of earlier documents goes."""
-    out = line_dedup.drop_recurring(docs).where((F.size("dropped") == 0) | F.col("text").rlike(r"\S"))
+    out = line_dedup.drop_recurring(docs, exact=2).where((F.size("dropped") == 0) | F.col("text").rlike(r"\S"))
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

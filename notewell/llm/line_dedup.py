@@ -5,6 +5,8 @@ A line is parsed to a fixed depth: its token count, then its first LEADING token
 its rest, in which that part is a wildcard: lines that differ in one part only meet there. The path from the root is a line's template, kept as
 a 64-bit hash.
 
+Where it is asked for, a line of any length, short ones too, also has an exact template, its tokens as they are, which may recur from fewer texts.
+
 A template recurs if enough different texts hold it. Copies of a text count once, so copies alone make nothing recur. Lines of a recurring
 template are dropped from all texts but the first (that of the smallest ident), so no content leaves the corpus altogether.
 """
@@ -22,7 +24,7 @@ from .bytewords import Hashes, blocks, mix, spans
 from .runtime import cut, prepare, skew_lookup
 
 LEADING, FIELDS = 3, 4
-#: Lines of fewer tokens have no branch with a wildcard part; of two tokens and fewer, no template: they say too little.
+#: Lines of fewer tokens have no branch with a wildcard part; of two tokens and fewer, none but the exact one.
 LONG_LINE, SHORT_LINE = 8, 2
 
 _RNG = np.random.default_rng(77)
@@ -31,8 +33,8 @@ _VARIABLE = np.zeros(256, np.int32)
 _VARIABLE[[*range(48, 58), 64]] = 1
 
 
-def line_templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, line number, template) of a block's lines; a long line has FIELDS + 1 of them."""
+def line_templates(data: np.ndarray, offsets: np.ndarray, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, line number, template) of a block's lines; a long line has FIELDS + 1 of them. Exact templates are odd, others even."""
     feed = np.flatnonzero(data == 10)
     rows_of_feed = np.searchsorted(offsets, feed, "right") - 1
     filled = np.flatnonzero(offsets[1:] > offsets[:-1])
@@ -50,7 +52,9 @@ def line_templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     if off.any():
         place[off] = np.array([np.flatnonzero((line_start <= s) & (line_row == r))[-1] for s, r in zip(starts[off], word_row[off])])
     seen = np.concatenate([[0], np.cumsum(_VARIABLE[data])])
-    token = np.where(seen[ends] > seen[starts], _WILD, Hashes(data).of(starts, ends))
+    variable = seen[ends] > seen[starts]
+    plain = Hashes(data).of(starts, ends)
+    token = np.where(variable, _WILD, plain)
     edge = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     count = np.diff(np.append(edge, len(place)))
     position = np.arange(len(place)) - np.repeat(edge, count)
@@ -60,18 +64,24 @@ def line_templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     whole = np.add.reduceat(spread, edge)
     root = mix(count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     own = count > SHORT_LINE
-    out = [(place[edge][own], mix(root + whole)[own])]
+    odd = np.uint64(1)
+    out = []
+    if exact:  # a line without variable tokens meets only its equals by its whole template, so the exact one takes its place
+        same = np.add.reduceat(mix(plain * (_LINE + np.uint64(2) * position.astype(np.uint64))), edge)
+        own &= np.add.reduceat(variable.astype(np.int64), edge) > 0
+        out.append((place[edge], mix(root + same) | odd))
+    out.append((place[edge][own], mix(root + whole)[own] & ~odd))
     long = count >= LONG_LINE
     if long.any():
         part = np.where(position < LEADING, -1, (position - LEADING) * FIELDS // np.maximum(n - LEADING, 1))
         for j in range(FIELDS):
             change = np.add.reduceat(np.where(part == j, wild - spread, np.uint64(0)), edge)
-            out.append((place[edge][long], mix(root + whole + change + np.uint64(j + 1))[long]))
+            out.append((place[edge][long], mix(root + whole + change + np.uint64(j + 1))[long] & ~odd))
     line = np.concatenate([x for x, _ in out])
     return line_row[line], number[line], np.concatenate([x for _, x in out]).astype(np.int64)
 
 
-def recurring_lines(docs: DataFrame, least: int = 3, ident: str = "doc_id", text: str = "text") -> DataFrame:
+def recurring_lines(docs: DataFrame, least: int = 3, ident: str = "doc_id", text: str = "text", exact: int | None = None) -> DataFrame:
     """(ident, _hash, dropped): for each document that loses lines, their numbers from 0 in ascending order. ``_hash`` is that of the text."""
     prepare(docs.sparkSession)
     kind = dict(docs.dtypes)[ident]
@@ -81,27 +91,29 @@ def recurring_lines(docs: DataFrame, least: int = 3, ident: str = "doc_id", text
             for a, _, data, offsets in blocks(x.column(2)):
                 if not len(data):
                     continue
-                row, number, template = line_templates(data, offsets)
+                row, number, template = line_templates(data, offsets, exact is not None)
                 at = pa.array(row + a)
                 yield pa.RecordBatch.from_arrays([x.column(0).take(at), x.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(template)], ["_id", "_hash", "line", "template"])
 
     lines = docs.select(F.col(ident), F.xxhash64(text), text).mapInArrow(parse, f"_id {kind}, _hash long, line int, template long")
     of_text = lines.groupBy("template", "_hash").agg(F.min("_id").alias("i"), F.count("*").alias("n"))
     found = of_text.groupBy("template").agg(F.count("*").alias("texts"), F.sum("n").alias("_n"), F.min(F.struct("i", "_hash")).alias("first"))
-    found = cut(found.where(F.col("texts") >= least).select("template", F.col("first._hash").alias("first"), "_n"))
+    enough = least if exact is None else F.when(F.col("template").bitwiseAND(F.lit(1)) == 1, exact).otherwise(least)
+    found = cut(found.where(F.col("texts") >= enough).select("template", F.col("first._hash").alias("first"), "_n"))
     hits = skew_lookup(lines, found.drop("_n"), ["template"], found.select("template", "_n")).where("_hash <> first")
     return hits.groupBy("_id", "_hash").agg(F.array_sort(F.collect_set("line")).alias("dropped")).withColumnRenamed("_id", ident)
 
 
-def drop_recurring(docs: DataFrame, least: int = 3, ident: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_recurring(docs: DataFrame, least: int = 3, ident: str = "doc_id", text: str = "text", exact: int | None = None) -> DataFrame:
     """``docs`` with the recurring lines taken out of their texts, and the columns n_lines and dropped (the numbers of the lines, from 0).
 
     All rows stay, those whose lines are all dropped with an empty text. A null text stays null, with no lines; an empty text has one empty line.
     Lines end at line feeds only. Repeated rows are treated alike; columns of ``docs`` that clash with the two are replaced; an empty table stays
-    empty. ``least`` is the number of different texts from which a template recurs.
+    empty. ``least`` is the number of different texts from which a template recurs; ``exact`` the
+    number from which a line of any length recurs token for token (None: lines of SHORT_LINE tokens stay, and equal longer ones need ``least``).
     """
     kept = docs.drop("n_lines", "dropped")
-    hits = recurring_lines(kept, least, ident, text).select(F.col(ident).alias("_i"), F.col("_hash").alias("_h"), "dropped")
+    hits = recurring_lines(kept, least, ident, text, exact).select(F.col(ident).alias("_i"), F.col("_hash").alias("_h"), "dropped")
     marked = kept.withColumn("_hash", F.xxhash64(text))
     joined = marked.join(hits, marked[ident].eqNullSafe(hits["_i"]) & (marked["_hash"] == hits["_h"]), "left")
     lines = F.split(F.col(text), "\n", -1)

@@ -25,7 +25,7 @@ def op3_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"), exact=2)
     return out.select("doc_id", "n_lines", F.col("dropped").alias("dropped_lines"), F.crc32("text").alias("kept_crc32"), F.octet_length("text").cast("long").alias("kept_bytes"))
 
 

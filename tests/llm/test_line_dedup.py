@@ -62,3 +62,17 @@ def test_copies_alone_make_nothing_recur(spark):
     df = spark.createDataFrame([(i, "one line of words here\nanother line of words") for i in range(9)], "doc_id long, text string")
     assert all(r.dropped == [] for r in D.drop_recurring(df).collect())
     assert D.drop_recurring(df.limit(0)).count() == 0
+
+
+def test_equal_lines_recur_from_two_texts_short_ones_too(spark):
+    rows = [(1, "three words here\nown first\nYes."), (2, "three\twords here\nown second\nYes.\nNo 1"), (3, "other words here\nNo 2\nown  second"), (4, "three words here\nown first\nYes.")]
+    out = {r.doc_id: r.dropped for r in D.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"), exact=2).collect()}
+    assert out == {1: [], 2: [0, 2], 3: [2], 4: []}
+
+
+def test_query_drops_lines_that_two_texts_hold(spark, tmp_path):
+    from notewell.llm import queries
+
+    spark.createDataFrame([(1, "a line of words\nx"), (2, "y\na line of words")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op4_template_tree(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.dropped_lines for r in out} == {1: [], 2: [1]}
