@@ -3,7 +3,7 @@
 A line is parsed to a fixed depth: its token count, then its first LEADING tokens, then the rest of its tokens. Tokens that hold a digit or an
 ``@`` are variable and become wildcards at every depth. Below the leading tokens a long line has one more branch for each of FIELDS parts of
 its rest, in which that part is a wildcard: lines that differ in one part only meet there. The path from the root is a line's template, kept as
-a 64-bit hash.
+a 64-bit hash. Lines without enough constant tokens, such as rows of numbers, have no template but the exact one.
 
 Where it is asked for, a line of any length, short ones too, also has an exact template, its tokens as they are, which may recur from fewer texts.
 
@@ -26,6 +26,8 @@ from .runtime import cut, prepare, skew_lookup
 LEADING, FIELDS = 3, 4
 #: Lines of fewer tokens have no branch with a wildcard part; of two tokens and fewer, none but the exact one.
 LONG_LINE, SHORT_LINE = 8, 2
+#: Least constant tokens of a template with wildcards, and the most tokens for each constant one: below that it says too little as well.
+CONSTANT, TOKENS_EACH = 2, 3
 
 _RNG = np.random.default_rng(77)
 _WILD, _LINE = _RNG.integers(1, 1 << 62, 2, dtype=np.uint64)
@@ -63,12 +65,14 @@ def line_templates(data: np.ndarray, offsets: np.ndarray, exact: bool = False) -
     wild = mix(_WILD * (_LINE + np.uint64(2) * position.astype(np.uint64)))
     whole = np.add.reduceat(spread, edge)
     root = mix(count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    own = count > SHORT_LINE
+    varied = np.add.reduceat(variable.astype(np.int64), edge)
+    fit = lambda constant: (constant >= CONSTANT) & (constant * TOKENS_EACH >= count)
+    own = (count > SHORT_LINE) & fit(count - varied)
     odd = np.uint64(1)
     out = []
     if exact:  # a line without variable tokens meets only its equals by its whole template, so the exact one takes its place
         same = np.add.reduceat(mix(plain * (_LINE + np.uint64(2) * position.astype(np.uint64))), edge)
-        own &= np.add.reduceat(variable.astype(np.int64), edge) > 0
+        own &= varied > 0
         out.append((place[edge], mix(root + same) | odd))
     out.append((place[edge][own], mix(root + whole)[own] & ~odd))
     long = count >= LONG_LINE
@@ -76,7 +80,8 @@ def line_templates(data: np.ndarray, offsets: np.ndarray, exact: bool = False) -
         part = np.where(position < LEADING, -1, (position - LEADING) * FIELDS // np.maximum(n - LEADING, 1))
         for j in range(FIELDS):
             change = np.add.reduceat(np.where(part == j, wild - spread, np.uint64(0)), edge)
-            out.append((place[edge][long], mix(root + whole + change + np.uint64(j + 1))[long] & ~odd))
+            keep = long & fit(count - np.add.reduceat((variable | (part == j)).astype(np.int64), edge))
+            out.append((place[edge][keep], mix(root + whole + change + np.uint64(j + 1))[keep] & ~odd))
     line = np.concatenate([x for x, _ in out])
     return line_row[line], number[line], np.concatenate([x for _, x in out]).astype(np.int64)
 

@@ -76,3 +76,9 @@ def test_query_drops_lines_that_two_texts_hold(spark, tmp_path):
     spark.createDataFrame([(1, "a line of words\nx"), (2, "y\na line of words")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     out = queries.op4_template_tree(spark, str(tmp_path)).collect()
     assert {r.doc_id: r.dropped_lines for r in out} == {1: [], 2: [1]}
+
+
+def test_rows_of_numbers_recur_only_if_equal(spark):
+    rows = [(i, f"{i} {i * 3}.5 {2000 + i}\n7 8 9\nTotal {i} {i + 1} {i + 2}\nPage {i} of 10") for i in range(1, 9)]
+    out = {r.doc_id: r.dropped for r in D.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"), exact=2).collect()}
+    assert out == {i: [] if i == 1 else [1, 3] for i in range(1, 9)}
