@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut
+from .runtime import cut, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -16,8 +16,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges (columns a, b: long): component is the smallest node reachable.
 
     Each round hangs every node under the smallest of its neighbours, in both directions in turn; rounds grow with the logarithm of the longest
-    path. Minima are combined before the shuffle, and the joins have one row for each node on one side, so a node with very many edges is
-    dealt over tasks. No edges, loops and repeated edges give no rows, nothing and nothing more.
+    path. Minima are combined before the shuffle; the joins have one row for each node on one side, so adaptive execution can split the other
+    side of a node with very many edges. No edges, loops and repeated edges give no rows, nothing and nothing more.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = _state(now)
@@ -27,7 +27,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
-        now = cut(small)
+        old, now = now, cut(small)
+        release(old)
         before, state = state, _state(now)
         if state == before:
             break

@@ -7,9 +7,14 @@ estimated jointly from the registers by likelihood, and what may be similar is c
 
 Documents with equal sets form one class from the start, and only class representatives are compared. In each band's bucket all are compared
 with one centre first (the representative that meets the most others). Buckets that these links leave in more than one component are gone
-through once more, in blocks of bounded size: the registers choose the representatives that may be similar to one of another component, and
-the full sets of those are compared inside the block, which gives back a spanning tree of the links that it confirms. So the rows that are
-made grow with the number of documents, and no link between different components is lost.
+through once more, in blocks of bounded size. There the members of the bucket's largest component are compared only with the rows outside it,
+never with each other, so they are repeated for each block of outsiders (mostly one), not for each block of the bucket: the rows that are made
+are the bucket's members times its blocks of outsiders. Registers choose the representatives that may be similar to one of another component, and the
+full sets of those are compared inside the block, which gives back a spanning tree of the links that it confirms. No link between
+different components is lost.
+
+Full sets are built for the two ends of candidate pairs only. Their texts are found by a filter of fixed size that each scan task holds, so the
+texts of other documents are not shuffled.
 """
 
 from __future__ import annotations
@@ -18,12 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import Hashes, blocks, mix, spans
 from .graphs import components
-from .runtime import cut, prepare, skew_lookup
+from .runtime import cut, fresh, key_filter, maybe_in, prepare, release, skew_lookup
 
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
@@ -69,6 +74,11 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarra
         yield a, sets
 
 
+def _node(s: np.ndarray) -> int | None:
+    """A hash of a set; None for the empty one."""
+    return int((mix(s * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64)) if len(s) else None
+
+
 def registers(sets: list[np.ndarray]) -> np.ndarray:
     """Registers of non-empty sets (rows of the result). A set's register is the truncated logarithm of its smallest hash value."""
     out = np.empty((len(sets), REGISTERS), np.uint64)
@@ -133,7 +143,7 @@ def sketch(docs: DataFrame, k: int, ident: str = "doc_id", text: str = "text") -
                 full = [s for s in sets if len(s)]
                 rows = iter(registers(full)) if full else iter(())
                 for s in sets:
-                    node.append(int((mix(s * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64)) if len(s) else None)
+                    node.append(_node(s))
                     regs.append(next(rows).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(2), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(regs, pa.binary())], [ident, "text_hash", "n_shingles", "node", "registers"])
 
@@ -244,8 +254,8 @@ def _suspects(t: pa.Table, threshold: float) -> np.ndarray:
     return found
 
 
-def _tree(node: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
-    """Links, confirmed on full sets, that join the components of one block where any do."""
+def _tree(comp: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """The components that links, confirmed on full sets, join within one block: a spanning tree of them."""
     hundredths, size = round(threshold * 100), np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), size)
     _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -274,17 +284,24 @@ def _tree(node: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], threshold:
                 theirs, own = root(int(comp[j])), root(own)
                 if theirs != own:
                     home[theirs] = own
-                    out.append((int(node[i]), int(node[j])))
+                    out.append((int(comp[i]), int(comp[j])))
     return out
 
 
-def _rest(members: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Confirmed links (a, b) between different components. members: (bucket, node, comp) of buckets that hold more than one component."""
-    rows = members.join(classes.select("node", "registers", "n_shingles"), "node")
-    size = rows.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("_blocks"), F.count("*").alias("_n"))
-    size = cut(size)
-    rows = skew_lookup(rows, size.drop("_n"), ["bucket"], size).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+def _rest(members: DataFrame, sizes: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, i, j, node, comp): the rows of each block pair that may be similar to one of another component.
+
+    members: (bucket, node, comp) of buckets that hold more than one component; sizes: (bucket, main, _n) with the largest component of each.
+    Outsiders have blocks 0, 1, .. and meet all blocks; the rows of the main component have the blocks after those and meet outsiders only.
+    """
+    rows = skew_lookup(members, sizes.select("bucket", "main"), ["bucket"], sizes).join(classes.select("node", "registers", "n_shingles"), "node")
+    rows = rows.withColumn("out", F.col("comp") != F.col("main"))
+    blocks_of = lambda own: F.greatest(F.lit(1), F.ceil(F.count_if(own) / BLOCK_ROWS), F.ceil(F.sum(F.when(own, F.col("n_shingles"))) / BLOCK_SHINGLES)).cast("int")
+    blocked = cut(rows.groupBy("bucket").agg(blocks_of(F.col("out")).alias("outer"), blocks_of(~F.col("out")).alias("inner"), F.count("*").alias("_n")))
+    rows = skew_lookup(rows, blocked.drop("_n"), ["bucket"], blocked)
+    at = F.pmod(F.xxhash64("node"), F.when(F.col("out"), F.col("outer")).otherwise(F.col("inner"))).cast("int")
+    rows = rows.withColumn("_own", F.when(F.col("out"), at).otherwise(F.col("outer") + at))
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("out"), F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1))
     rows = rows.select("*", other.alias("_other")).select("bucket", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "node", "comp", "_own", "n_shingles", "registers")
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
 
@@ -294,18 +311,44 @@ def _rest(members: DataFrame, classes: DataFrame, sets: DataFrame, threshold: fl
             yes = t.filter(pa.array(_suspects(t, threshold)))
             yield from yes.select(["bucket", "i", "j", "node", "comp"]).combine_chunks().to_batches()
 
+    return rows.mapInArrow(suspects, "bucket long, i int, j int, node long, comp long")
+
+
+def _trees(near: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Different components (a, b) that confirmed links of a block pair join."""
+
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, 3):
             t = t.combine_chunks()
-            node, comp, raw, found = t.column(3).to_numpy(), t.column(4).to_numpy(), t.column(5).combine_chunks(), []
+            comp, raw, found = t.column(3).to_numpy(), t.column(4).combine_chunks(), []
             for a, b in zip(*_edges(t, 3)):
-                found += _tree(node[a:b], comp[a:b], [np.frombuffer(raw[k].as_buffer(), np.uint64) for k in range(a, b)], threshold)
+                found += _tree(comp[a:b], [np.frombuffer(raw[k].as_buffer(), np.uint64) for k in range(a, b)], threshold)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    near = cut(rows.mapInArrow(suspects, "bucket long, i int, j int, node long, comp long"))
-    full = near.join(sets, "node").select("bucket", "i", "j", "node", "comp", "shingles")
-    return full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(trees, "a long, b long").distinct()
+    full = near.join(sets, "node").select("bucket", "i", "j", "comp", "shingles")
+    return full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "comp").mapInArrow(trees, "a long, b long").distinct()
+
+
+def _full_sets(docs: DataFrame, wanted: DataFrame, k: int, ident: str, text: str) -> DataFrame:
+    """(node, shingles) of the classes in ``wanted`` (node, key): the text of each class's representative is found by its key.
+
+    Only rows that a filter of fixed size lets through are shuffled. A key that several rows share is no harm: the set must be the node's.
+    """
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for a, sets in shingle_sets(x.column(1), k):
+                own = x.column(0).slice(a, len(sets)).to_pylist()
+                keep = [i for i, s in enumerate(sets) if _node(s) == own[i]]
+                yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["node", "shingles"])
+
+    texts = maybe_in(docs.select(_key(F.col(ident), F.xxhash64(text)).alias("key"), F.col(text).alias("text")), "key", key_filter(wanted.select("key")))
+    return texts.join(wanted, "key").select("node", "text").mapInArrow(sets_of, "node long, shingles binary").dropDuplicates(["node"])
+
+
+def _key(ident: Column, text_hash: Column) -> Column:
+    return F.xxhash64(ident, text_hash)
 
 
 def link(docs: DataFrame, k: int = 5, threshold: float = 0.8, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -316,37 +359,42 @@ def link(docs: DataFrame, k: int = 5, threshold: float = 0.8, ident: str = "doc_
     linked by their text as others are, and never give a component its id unless all of it are null. Rows that share an ident are judged each by
     their own text. Other columns are ignored; an empty table gives no rows.
     """
-    sketched = cut(sketch(docs, k, ident, text))
+    own = fresh("text_hash", docs.select(ident))
+    sketched = cut(sketch(docs, k, ident, text).withColumnRenamed("text_hash", own))
     full = sketched.where("node is not null")
-    first = F.min(F.struct(F.col(ident).isNull().alias("none"), F.col(ident).alias("i"), "text_hash", "registers", "n_shingles"))
-    classes = cut(full.groupBy("node").agg(first.alias("x"), F.count("*").alias("copies")).select("node", F.col("x.i").alias("rep"), F.col("x.text_hash").alias("rep_hash"), "x.registers", "x.n_shingles", "copies"))
+    first = F.min(F.struct(F.col(ident).isNull().alias("none"), F.col(ident).alias("i"), F.col(own).alias("h"), "registers", "n_shingles"))
+    classes = cut(full.groupBy("node").agg(first.alias("x"), F.count("*").alias("copies")).select("node", F.col("x.i").alias("rep"), _key(F.col("x.i"), F.col("x.h")).alias("key"), "x.registers", "x.n_shingles", "copies"))
     bands = _bands(classes)
     crowd = cut(bands.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1"))
     members = cut(skew_lookup(bands, crowd.select("bucket", F.col("_n").alias("size")), ["bucket"], crowd))  # bucket, node, size
     meets = members.groupBy("node").agg(F.sum("size").alias("meets"))
     ranked = members.join(meets, "node")
     centre = ranked.groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("node").cast("decimal(20,0)")).alias("low"), "node")).alias("c")).select("bucket", F.col("c.node").alias("b"))
-    star = skew_lookup(members.select("bucket", F.col("node").alias("a")), centre, ["bucket"], crowd).where("a <> b").select("a", "b").distinct()
-    star = cut(_prune(cut(star), classes, threshold))
-
-    wanted = cut(members.select("node").distinct().join(classes.select("node", "rep", "rep_hash"), "node"))
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            for a, sets in shingle_sets(x.column(1), k):
-                node = [int((mix(s * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64)) for s in sets]
-                own = x.column(0).slice(a, len(sets)).to_pylist()
-                keep = [i for i, v in enumerate(node) if v == own[i]]
-                yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["node", "shingles"])
+    pairs = cut(skew_lookup(members.select("bucket", F.col("node").alias("a")), centre, ["bucket"], crowd).where("a <> b").select("a", "b").distinct())
+    star = cut(_prune(pairs, classes, threshold))
+    release(pairs, crowd)
 
-    same = F.col("rep").eqNullSafe(F.col(ident)) & (F.col("rep_hash") == F.xxhash64(text))
-    sets = cut(docs.select(ident, text).join(wanted, same).select("node", text).mapInArrow(sets_of, "node long, shingles binary").dropDuplicates(["node"]))
+    ends = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()
+    wanted = cut(ends.join(classes.select("node", "key"), "node"))
+    sets = cut(_full_sets(docs, wanted, k, ident, text))
     links = cut(_confirm(star, sets, threshold))
+    release(star, wanted)
     comp = components(links)
-    placed = cut(members.join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp")))
-    mixed = cut(placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("_n")).where("x <> y").select("bucket", "_n"))
-    more = cut(_rest(cut(skew_lookup(placed, mixed.select("bucket"), ["bucket"], mixed)), classes, sets, threshold))
-    comp = cut(components(links.unionByName(more)))
+    placed = cut(members.drop("size").join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp")))
+    release(members)
+    parts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    mixed = cut(parts.groupBy("bucket").agg(F.sum("n").alias("_n"), F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "_n", F.col("m.comp").alias("main")))
+    if not mixed.isEmpty():
+        near = cut(_rest(placed, mixed, classes, threshold))
+        wanted = cut(near.select("node").distinct().join(sets, "node", "left_anti").join(classes.select("node", "key"), "node"))
+        others = cut(_full_sets(docs, wanted, k, ident, text))
+        more = cut(_trees(near, sets.unionByName(others), threshold))
+        release(near, wanted, others)
+        if not more.isEmpty():  # the second round of components is one over those of the first, alone nodes included
+            onto = components(more).select(F.col("node").alias("component"), F.col("component").alias("onto"))
+            alone = onto.join(comp, F.col("component") == F.col("node"), "left_anti").select(F.col("component").alias("node"), "onto")
+            comp = comp.join(onto, "component", "left").select("node", F.coalesce("onto", "component").alias("component")).unionByName(alone.withColumnRenamed("onto", "component"))
+    release(placed, mixed, sets)
     home = classes.join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("comp"), "copies")
     lowest = home.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = home.join(lowest, "comp").select("node", "component_id")
