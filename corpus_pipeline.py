@@ -6,13 +6,11 @@ next stage's docs. All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notewell.llm import decontaminate, language_id, line_dedup, near_dup, packing
-from notewell.llm.runtime import prepare, table
+from notewell.llm.runtime import cut, erase, key_filter, maybe_in, scratch, table
 
 #: Documents whose language is less sure than this are rejected, as are those without a letter.
 LEAST_SURE = 0.5
@@ -31,13 +29,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8; the smallest doc_id of each group stays, once. Documents without words all stay."""
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h")))
-    kept = near_dup.link(keyed.select("_key", "text"), k=5, threshold=0.8, ident="_key").where("kept").select(F.col("_key.i").alias("_i"), F.col("_key.h").alias("_h"), "n_shingles").distinct()
-    marked = docs.withColumn("_hash", F.xxhash64("text"))
-    joined = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_i"]) & (marked["_hash"] == kept["_h"]))
-    once = F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("_hash"))
-    return joined.withColumn("_once", once).where("_once = 1 or n_shingles = 0").select(*docs.columns)
+    """Five-word shingles, similarity 0.8; the smallest doc_id of each group stays, once. Documents without words all stay, null texts too.
+
+    Which rows go is decided on ids and hashes; the texts are shuffled once, to take those rows out. Rows that repeat both id and text count as
+    copies: the one that sorts first by its other columns stays. Extra columns are kept whatever their names; an empty table stays empty.
+    """
+    ident = F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
+    judged = near_dup.link(docs.select(ident.alias("k"), "text"), k=5, threshold=0.8, ident="k").groupBy("k").agg(F.max("n_shingles").alias("n"), F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    odd = cut(judged.where("n > 0 and (not kept or rows > 1)").select(F.xxhash64("k").alias("key"), "k", "kept"))
+    rows = docs.select(F.struct("*").alias("d"), ident.alias("k"))
+    out = rows.join(odd, "k", "left_anti").select("d")
+    repeated = odd.where("kept")
+    if not repeated.isEmpty():
+        few = maybe_in(rows.withColumn("key", F.xxhash64("k")), "key", key_filter(repeated.select("key"))).drop("key")
+        out = out.unionByName(few.join(repeated.select("k"), "k").groupBy("k").agg(F.min("d").alias("d")).select("d"))
+    return out.select("d.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,20 +69,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``. What a stage leaves is written to the shared checkpoint folder; only the last is kept."""
-    prepare(spark)
-    jvm = spark._jvm
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    """Apply the stages to ``documents``. What a stage leaves is written to the shared checkpoint folder and goes when the next one is written.
+
+    The last stage's input goes when the session ends; after a failure nothing stays.
+    """
     docs, old = table(spark, sf_dir, "documents"), None
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        path = f"{base}/{k}"
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
-        if old:
-            place = jvm.org.apache.hadoop.fs.Path(old)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-        old = path
-    return docs
+    for _, stage in STAGES[:-1]:
+        path = scratch(spark)
+        try:
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        except BaseException:
+            erase(spark, path)
+            raise
+        finally:
+            if old:
+                erase(spark, old)
+        docs, old = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
