@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import Hashes, blocks, mix, spans
 from .graphs import components
-from .runtime import cut, fresh, key_filter, maybe_in, prepare, release, skew_lookup
+from .runtime import cut, fresh, in_filter, key_filter, prepare, release, skew_lookup
 
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
@@ -333,18 +333,20 @@ def _trees(near: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int, ident: str, text: str) -> DataFrame:
     """(node, shingles) of the classes in ``wanted`` (node, key): the text of each class's representative is found by its key.
 
-    Only rows that a filter of fixed size lets through are shuffled. A key that several rows share is no harm: the set must be the node's.
+    Only the sets of rows that a filter of fixed size lets through are built and shuffled; with so many keys that it lets all through, those are the
+    sets of all rows, once. A key that several rows share is no harm: the set must be the node's.
     """
+    bits = key_filter(wanted.select("key"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
+            x = x.filter(pa.array(in_filter(x.column(0).to_numpy(), bits)))
             for a, sets in shingle_sets(x.column(1), k):
-                own = x.column(0).slice(a, len(sets)).to_pylist()
-                keep = [i for i, s in enumerate(sets) if _node(s) == own[i]]
-                yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["node", "shingles"])
+                keep = [i for i, s in enumerate(sets) if len(s)]
+                yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array([a + i for i in keep], pa.int64())), pa.array([_node(sets[i]) for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["key", "node", "shingles"])
 
-    texts = maybe_in(docs.select(_key(F.col(ident), F.xxhash64(text)).alias("key"), F.col(text).alias("text")), "key", key_filter(wanted.select("key")))
-    return texts.join(wanted, "key").select("node", "text").mapInArrow(sets_of, "node long, shingles binary").dropDuplicates(["node"])
+    found = docs.select(_key(F.col(ident), F.xxhash64(text)), F.col(text)).mapInArrow(sets_of, "key long, node long, shingles binary")
+    return found.join(wanted, ["key", "node"]).select("node", "shingles").dropDuplicates(["node"])
 
 
 def _key(ident: Column, text_hash: Column) -> Column:
@@ -391,9 +393,9 @@ def link(docs: DataFrame, k: int = 5, threshold: float = 0.8, ident: str = "doc_
         more = cut(_trees(near, sets.unionByName(others), threshold))
         release(near, wanted, others)
         if not more.isEmpty():  # the second round of components is one over those of the first, alone nodes included
-            onto = components(more).select(F.col("node").alias("component"), F.col("component").alias("onto"))
-            alone = onto.join(comp, F.col("component") == F.col("node"), "left_anti").select(F.col("component").alias("node"), "onto")
-            comp = comp.join(onto, "component", "left").select("node", F.coalesce("onto", "component").alias("component")).unionByName(alone.withColumnRenamed("onto", "component"))
+            onto = components(more).select(F.col("node").alias("old"), F.col("component").alias("onto"))
+            alone = onto.join(comp, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("onto").alias("component"))
+            comp = comp.join(onto, F.col("component") == F.col("old"), "left").select("node", F.coalesce("onto", "component").alias("component")).unionByName(alone)
     release(placed, mixed, sets)
     home = classes.join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("comp"), "copies")
     lowest = home.groupBy("comp").agg(F.min("rep").alias("component_id"))

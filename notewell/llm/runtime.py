@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 #: Words of 64 bits in a key filter (8 MB), whatever the number of keys.
 FILTER_WORDS = 1 << 20
+#: Bytes that a writer of an intermediate table holds.
+BLOCK_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +60,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table to the shared checkpoint folder and go on from there: later actions don't recompute it, and it outlives executors."""
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("parquet.block.size", str(BLOCK_BYTES)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._notewell_path = path
     return out
@@ -144,12 +146,17 @@ def key_filter(keys: DataFrame) -> np.ndarray:
     return out
 
 
+def in_filter(key: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which keys may be among those of a filter; all that are, and few others."""
+    word, both = _bits(key)
+    return bits[word] & both == both
+
+
 def maybe_in(df: DataFrame, key: str, bits: np.ndarray) -> DataFrame:
     """The rows of ``df`` whose ``key`` (long, not null) may be one of a filter's."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            word, both = _bits(x.column(key).to_numpy())
-            yield x.filter(pa.array(bits[word] & both == both))
+            yield x.filter(pa.array(in_filter(x.column(key).to_numpy(), bits)))
 
     return df.mapInArrow(look, df.schema)

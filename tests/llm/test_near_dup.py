@@ -95,3 +95,25 @@ def test_components_of_a_path_and_a_star(spark):
     out = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {out[i] for i in range(1, 61)} == {1} and {out[i] for i in range(100, 140)} == {100} and len(out) == 100
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_links_between_rows_far_from_the_centre(spark):
+    """Groups of texts that slide along, so that buckets hold rows which no centre links."""
+    rng = random.Random(3)
+    rows = []
+    for g in range(12):
+        w = [f"g{g}x{rng.randrange(10**6)}" for _ in range(160)]
+        rows += [" ".join(w[i : i + 60]) for i in range(0, 90, rng.choice([2, 3, 4]))]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    out = near_dup.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 0.8).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == plain(rows, 4, 80)
+
+
+def test_second_round_of_components(spark, monkeypatch):
+    """Links that only the blocks find are put on top of the first components."""
+    links = near_dup._confirm
+    monkeypatch.setattr(near_dup, "_confirm", lambda pairs, sets, threshold: links(pairs, sets, threshold).where("a % 3 = 0"))
+    rows = corpus()
+    out = near_dup.link(spark.createDataFrame(rows, "doc_id long, text string"), 4, 0.8).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == plain(rows, 4, 80)
