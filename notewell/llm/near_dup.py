@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import Hashes, blocks, mix, spans
 from .graphs import components
-from .runtime import cut, fresh, in_filter, key_filter, prepare, release, skew_lookup
+from .runtime import cut, fresh, in_filter, key_filter, maybe_in, prepare, release, skew_lookup
 
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
@@ -150,8 +150,8 @@ def sketch(docs: DataFrame, k: int, ident: str = "doc_id", text: str = "text") -
     return docs.select(ident, text, F.xxhash64(text)).mapInArrow(run, f"`{ident}` {kind}, text_hash long, n_shingles long, node long, registers binary")
 
 
-def _bands(classes: DataFrame) -> DataFrame:
-    """(bucket, node) of every band of every class."""
+def _bands(classes: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+    """(bucket, node) of every band of every class, or of those bands whose bucket a filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -162,7 +162,11 @@ def _bands(classes: DataFrame) -> DataFrame:
             for j in range(ROWS):
                 h = mix(h + (r[:, :, j] + np.uint64(1)) * _COEFFICIENT[j])
             h = (h & ~np.uint64(31)) | np.arange(BANDS, dtype=np.uint64)  # the band stays readable
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).astype(np.int64)), pa.array(np.repeat(x.column(0).to_numpy(), BANDS))], ["bucket", "node"])
+            bucket, node = h.reshape(-1).astype(np.int64), np.repeat(x.column(0).to_numpy(), BANDS)
+            if bits is not None:
+                some = in_filter(bucket, bits)
+                bucket, node = bucket[some], node[some]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(node)], ["bucket", "node"])
 
     return classes.select("node", "registers").mapInArrow(run, "bucket long, node long")
 
@@ -194,8 +198,15 @@ def _prune(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
                 yes = pa.array(_likely(_regs(x.column(2)), _regs(x.column(4)), x.column(3).to_numpy(), x.column(5).to_numpy(), threshold))
                 yield pa.RecordBatch.from_arrays([x.column(0).filter(yes), x.column(1).filter(yes)], ["a", "b"])
 
-    of = lambda c: classes.select(F.col("node").alias(c), F.col("registers").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}"))
-    return skew_lookup(pairs.join(of("a"), "a"), pairs.select("b").distinct().join(of("b"), "b"), ["b"], pairs.groupBy("b").agg(F.count("*").alias("_n"))).select("a", "b", "ra", "na", "rb", "nb").mapInArrow(run, "a long, b long")
+    b = pairs.select("b").distinct()
+    few = _sketches(classes, pairs.select(F.col("a").alias("node")).unionByName(b.withColumnRenamed("b", "node")))
+    of = lambda c: few.select(F.col("node").alias(c), F.col("registers").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}"))
+    return skew_lookup(pairs.join(of("a"), "a"), b.join(of("b"), "b"), ["b"], pairs.groupBy("b").agg(F.count("*").alias("_n")), 512).select("a", "b", "ra", "na", "rb", "nb").mapInArrow(run, "a long, b long")
+
+
+def _sketches(classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, registers, n_shingles) of some nodes and a few others: what a filter lets through, so that joins don't shuffle the sketches of all."""
+    return maybe_in(classes.select("node", "registers", "n_shingles"), "node", key_filter(nodes.select("node")))
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
@@ -294,7 +305,8 @@ def _rest(members: DataFrame, sizes: DataFrame, classes: DataFrame, threshold: f
     members: (bucket, node, comp) of buckets that hold more than one component; sizes: (bucket, main, _n) with the largest component of each.
     Outsiders have blocks 0, 1, .. and meet all blocks; the rows of the main component have the blocks after those and meet outsiders only.
     """
-    rows = skew_lookup(members, sizes.select("bucket", "main"), ["bucket"], sizes).join(classes.select("node", "registers", "n_shingles"), "node")
+    rows = skew_lookup(members, sizes.select("bucket", "main"), ["bucket"], sizes)
+    rows = rows.join(_sketches(classes, rows), "node")
     rows = rows.withColumn("out", F.col("comp") != F.col("main"))
     blocks_of = lambda own: F.greatest(F.lit(1), F.ceil(F.count_if(own) / BLOCK_ROWS), F.ceil(F.sum(F.when(own, F.col("n_shingles"))) / BLOCK_SHINGLES)).cast("int")
     blocked = cut(rows.groupBy("bucket").agg(blocks_of(F.col("out")).alias("outer"), blocks_of(~F.col("out")).alias("inner"), F.count("*").alias("_n")))
@@ -346,7 +358,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int, ident: str, text: str
                 yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array([a + i for i in keep], pa.int64())), pa.array([_node(sets[i]) for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["key", "node", "shingles"])
 
     found = docs.select(_key(F.col(ident), F.xxhash64(text)), F.col(text)).mapInArrow(sets_of, "key long, node long, shingles binary")
-    return found.join(wanted, ["key", "node"]).select("node", "shingles").dropDuplicates(["node"])
+    return found.withColumnRenamed("key", "own").join(wanted, "node").where("own = key").select("node", "shingles").dropDuplicates(["node"])
 
 
 def _key(ident: Column, text_hash: Column) -> Column:
@@ -366,9 +378,9 @@ def link(docs: DataFrame, k: int = 5, threshold: float = 0.8, ident: str = "doc_
     full = sketched.where("node is not null")
     first = F.min(F.struct(F.col(ident).isNull().alias("none"), F.col(ident).alias("i"), F.col(own).alias("h"), "registers", "n_shingles"))
     classes = cut(full.groupBy("node").agg(first.alias("x"), F.count("*").alias("copies")).select("node", F.col("x.i").alias("rep"), _key(F.col("x.i"), F.col("x.h")).alias("key"), "x.registers", "x.n_shingles", "copies"))
-    bands = _bands(classes)
-    crowd = cut(bands.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1"))
-    members = cut(skew_lookup(bands, crowd.select("bucket", F.col("_n").alias("size")), ["bucket"], crowd))  # bucket, node, size
+    crowd = cut(_bands(classes).groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1"))
+    shared = _bands(classes, key_filter(crowd.select("bucket")))
+    members = cut(skew_lookup(shared, crowd.select("bucket", F.col("_n").alias("size")), ["bucket"], crowd))  # bucket, node, size
     meets = members.groupBy("node").agg(F.sum("size").alias("meets"))
     ranked = members.join(meets, "node")
     centre = ranked.groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("node").cast("decimal(20,0)")).alias("low"), "node")).alias("c")).select("bucket", F.col("c.node").alias("b"))
@@ -390,7 +402,8 @@ def link(docs: DataFrame, k: int = 5, threshold: float = 0.8, ident: str = "doc_
         near = cut(_rest(placed, mixed, classes, threshold))
         wanted = cut(near.select("node").distinct().join(sets, "node", "left_anti").join(classes.select("node", "key"), "node"))
         others = cut(_full_sets(docs, wanted, k, ident, text))
-        more = cut(_trees(near, sets.unionByName(others), threshold))
+        asked = maybe_in(sets, "node", key_filter(near.select("node"))).unionByName(others)
+        more = cut(_trees(near, asked, threshold))
         release(near, wanted, others)
         if not more.isEmpty():  # the second round of components is one over those of the first, alone nodes included
             onto = components(more).select(F.col("node").alias("old"), F.col("component").alias("onto"))
