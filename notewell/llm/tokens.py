@@ -1,7 +1,11 @@
 """Token ids of the public byte-level BPE vocabulary for whole text columns.
 
-Text is cut before every space that a visible character follows: the vocabulary's pattern always starts a new piece there, so ids of the
-parts, joined, are the ids of the whole. Equal parts are encoded once for each worker, which makes the repeated words of a corpus cheap.
+Ids are those that the ``tokenizers`` library gives by ``encode(text, add_special_tokens=False)`` at its defaults, so the vocabulary's added token
+``<|endoftext|>`` is one id wherever a text spells it out.
+
+Text is cut before every space that a visible character follows: the vocabulary's pattern always starts a new piece there, and the added token
+holds no space, so ids of the parts, joined, are the ids of the whole. Equal parts are encoded once for each worker, which makes the repeated
+words of a corpus cheap.
 """
 
 from __future__ import annotations
@@ -18,6 +22,9 @@ from .bytewords import Hashes, blocks
 #: Parts kept by a worker; beyond it the store is emptied. It decides speed only, never ids.
 MOST_KEPT = 1_500_000
 
+#: The vocabulary's added token and its id.
+ADDED = {"<|endoftext|>": 50256}
+
 #: Bytes that may follow a cut: not ASCII white space, and not the first byte of a longer white-space character.
 _GOES_ON = np.ones(256, bool)
 _GOES_ON[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0xC2, 0xE1, 0xE2, 0xE3]] = False
@@ -50,10 +57,12 @@ class Vocabulary:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.encoding = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
+        self.n_bytes = np.zeros(max(*ranks.values(), *ADDED.values()) + 1, np.int64)
         for piece, i in ranks.items():
             self.n_bytes[i] = len(piece)
+        for piece, i in ADDED.items():
+            self.n_bytes[i] = len(piece.encode())
         self.forget()
 
     def forget(self) -> None:
@@ -72,13 +81,13 @@ class Vocabulary:
         if n_spaced:
             own = order[:n_spaced]
             joined = b"".join([raw[s:e] for s, e in zip(starts[own].tolist(), ends[own].tolist())])
-            ids = self.encoding.encode_to_numpy(joined.decode("utf-8", "replace"), disallowed_special=())
+            ids = self.encoding.encode_to_numpy(joined.decode("utf-8", "replace"), allowed_special="all")
             reach = np.concatenate([[0], np.cumsum(self.n_bytes[ids])])
             at = np.searchsorted(reach, np.concatenate([[0], np.cumsum(ends[own] - starts[own])]))
             length[own] = np.diff(at)
             flat.append(ids.astype(np.uint16))
         for k in order[n_spaced:].tolist():
-            ids = self.encoding.encode_ordinary(raw[starts[k] : ends[k]].decode("utf-8", "replace"))
+            ids = self.encoding.encode(raw[starts[k] : ends[k]].decode("utf-8", "replace"), allowed_special="all")
             length[k] = len(ids)
             flat.append(np.asarray(ids, np.uint16))
         place = np.empty(len(fresh), np.int64)
