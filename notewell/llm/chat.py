@@ -28,16 +28,23 @@ _RESULT = re.compile(r"<tool_result>(.*?)</tool_result>", re.S)
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "integer": int, "number": (int, float), "null": type(None)}
 
 
+def whole(text: str) -> str:
+    """``text`` with surrogate pairs joined and lone surrogates, which UTF-8 can't hold, replaced by U+FFFD."""
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def canonical(value) -> str:
-    """Canonical JSON; raises ValueError for what JSON can't hold."""
+    """Canonical JSON; raises ValueError for what JSON can't hold. Lone surrogates become U+FFFD."""
 
     def plain(v):
+        if isinstance(v, str):
+            return whole(v)
         if isinstance(v, float):
             if not math.isfinite(v):
                 raise ValueError("not a finite number")
             return int(v) if v.is_integer() and abs(v) < 2**53 else v
         if isinstance(v, dict):
-            return {str(k): plain(x) for k, x in v.items()}
+            return {whole(str(k)): plain(x) for k, x in v.items()}
         return [plain(x) for x in v] if isinstance(v, list) else v
 
     return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
@@ -88,14 +95,14 @@ def parse_message(role: str | None, text: str | None, schemas: dict[str, dict])
                 args = call.get("arguments")
                 if isinstance(args, str):
                     args = json.loads(args)
-                own = None if call.get("id") is None else str(call["id"])
+                own = None if call.get("id") is None else whole(str(call["id"]))
                 name = call.get("name")
-                wrong = "no id" if own is None else "unknown tool" if name not in schemas else problem({} if args is None else args, schemas[name], "$")
+                wrong = "no id" if own is None else "unknown tool" if not isinstance(name, str) or name not in schemas else problem({} if args is None else args, schemas[name], "$")
                 entry = {"id": own, "name": name, "arguments": {} if args is None else args}
                 canonical(entry)
             except (ValueError, RecursionError):
                 own, wrong, entry = None, "not JSON", {"raw": raw}
-            calls.append((own, wrong))
+            calls.append((own, None if wrong is None else whole(wrong)))
             listed.append(entry)
         message = {"role": role, "content": _CALL.sub("", body).strip(), "tool_calls": listed}
     elif role == "tool":
@@ -103,7 +110,7 @@ def parse_message(role: str | None, text: str | None, schemas: dict[str, dict])
         try:
             found = json.loads(inner[1] if inner else body)
             if isinstance(found, dict) and (key := found.get("tool_call_id", found.get("id"))) is not None:
-                result = str(key)
+                result = whole(str(key))
                 candidate = {"role": role, "tool_call_id": result, "content": found.get("content")}
                 canonical(candidate)
                 message = candidate
@@ -117,8 +124,10 @@ def link_tool_calls(chats: DataFrame, schemas: dict[str, dict] | None = None, co
 
     Sorted by the three order columns a conversation is in topological order: a message stands at its turn, a result that came before its call
     right after that call. result_status is ``linked``, ``early`` (moved), ``orphan`` (no such call) or ``unreadable``; null for other messages.
-    Of calls that share an id the first counts. Calls without schema are ``unknown tool``. A null text or role is serialised as null; null
-    conversation ids form one conversation; repeated rows stay; other columns are ignored; an empty table gives no rows.
+    Of calls that share an id the first counts, a call of null turn before all others; a result of null turn came before any call that has a turn.
+    Calls without schema, or whose name is no string, are ``unknown tool``. A null text or role is serialised as null; null conversation ids form one
+    conversation; messages of the same turn tie; repeated rows stay, and each counts as a result; texts of any length are parsed whole, one message at a
+    time; lone surrogates in JSON become U+FFFD; other columns are ignored; an empty table gives no rows.
     """
     prepare(chats.sparkSession)
     schemas = schemas or {}
@@ -137,19 +146,19 @@ def link_tool_calls(chats: DataFrame, schemas: dict[str, dict] | None = None, co
 
     parsed = cut(read.mapInArrow(parse, f"_c {kinds[conv]}, _t {kinds[turn]}, _r string, message string, ids array<string>, wrong array<string>, result_of string").withColumn("_key", F.xxhash64("_c", "_t", "_r", "message")).withColumn("_conv", F.coalesce(F.col("_c").cast("string"), F.lit("\u0001"))))
     calls = parsed.where(F.size("ids") > 0).select("_conv", "_t", "_key", F.explode("ids").alias("id")).where("id is not null").distinct()
-    first = calls.groupBy("_conv", "id").agg(F.min("_t").alias("call_turn"))
+    first = calls.groupBy("_conv", "id").agg(F.min(F.struct(F.col("_t").isNotNull().alias("known"), F.col("_t").alias("t"))).alias("call"))
     results = parsed.where("result_of is not null").select("_conv", "_t", "_key", F.col("result_of").alias("id"))
     asked = results.groupBy("_conv", "id").agg(F.count("*").alias("_n"))
-    linked = skew_lookup(results, first, ["_conv", "id"], asked, how="left").groupBy("_key").agg(F.min("call_turn").alias("call_turn"))
+    linked = skew_lookup(results, first, ["_conv", "id"], asked, how="left").groupBy("_key").agg(F.min("call").alias("call"))
     uses = calls.groupBy("_conv", "id").agg(F.count("*").alias("_n"))
     answered = skew_lookup(calls, asked.select("_conv", "id"), ["_conv", "id"], uses).groupBy("_key").agg(F.count("*").alias("n_answered"))
-    quiet = parsed.where("result_of is null and size(ids) = 0").select("*", F.lit(None).cast(kinds[turn]).alias("call_turn"), F.lit(None).cast("long").alias("n_answered"))
+    quiet = parsed.where("result_of is null and size(ids) = 0").select("*", F.lit(None).cast(f"struct<known:boolean,t:{kinds[turn]}>").alias("call"), F.lit(None).cast("long").alias("n_answered"))
     busy = parsed.where("result_of is not null or size(ids) > 0").join(linked, "_key", "left").join(answered, "_key", "left")
     out = quiet.unionByName(busy)
-    early = F.col("call_turn") > F.col("_t")
-    status = F.when(F.col("result_of").isNotNull(), F.when(F.col("call_turn").isNull(), "orphan").when(early, "early").otherwise("linked")).when(F.col("_r") == "tool", "unreadable")
+    early = F.coalesce(F.col("call.known") & (F.col("_t").isNull() | (F.col("call.t") > F.col("_t"))), F.lit(False))
+    status = F.when(F.col("result_of").isNotNull(), F.when(F.col("call").isNull(), "orphan").when(early, "early").otherwise("linked")).when(F.col("_r") == "tool", "unreadable")
     bad = F.filter("wrong", lambda w: w.isNotNull())
     return out.select(
-        F.col("_c").alias(conv), F.col("_t").alias(turn), F.col("_r").alias(role), F.when(early, F.col("call_turn")).otherwise(F.col("_t")).alias("order_turn"), F.when(early, 1).otherwise(0).alias("order_rank"), F.col("_t").alias("order_own"),
+        F.col("_c").alias(conv), F.col("_t").alias(turn), F.col("_r").alias(role), F.when(early, F.col("call.t")).otherwise(F.col("_t")).alias("order_turn"), F.when(early, 1).otherwise(0).alias("order_rank"), F.col("_t").alias("order_own"),
         "message", F.size("ids").cast("long").alias("n_calls"), F.coalesce("n_answered", F.lit(0)).cast("long").alias("n_answered"), F.size(bad).cast("long").alias("n_invalid"), bad.alias("problems"), "result_of", status.alias("result_status"),
     )
