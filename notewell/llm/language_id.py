@@ -4,8 +4,8 @@ For each language every piece of a fixed public vocabulary has a probability. A
 pieces, of the product of their probabilities, which a forward pass over its bytes computes; a text's is the product over its words.
 Piece probabilities are learned by expectation maximisation over the same lattice (forward and backward passes).
 
-Words are runs of bytes other than ASCII white space, with A-Z lower-cased and a leading space as in the vocabulary; a run is cut every
-LONGEST - 1 bytes, and those cuts are fixed piece boundaries.
+Words are runs of bytes other than ASCII white space, with A-Z lower-cased and a leading space as in the vocabulary. All pieces of the vocabulary
+count, and words of any length are summed over all their cuts: those of LONGEST bytes and more one at a time, in logarithms and by blocks.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import BASE, INVERSE, _VALUE_LOWER, Hashes, blocks, spans
-from .runtime import prepare, text_bytes, unit_hash
+from .bytewords import BASE, INVERSE, _VALUE_LOWER, Hashes, _powers, blocks, spans
+from .runtime import fresh, prepare, text_bytes, unit_hash
 from .tokens import default_vocabulary
 
-LONGEST, LONGEST_PIECE = 64, 16
+#: From so many bytes a word is taken by itself (it decides speed only); bytes of such a word in one block.
+LONGEST, BLOCK = 64, 1 << 16
 #: The classifier is fitted on labelled rows of about so many text bytes for each language (all rows where there are fewer).
 FIT_BYTES = 1_500_000
 ROUNDS = 3
@@ -43,9 +44,11 @@ class Pieces:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             raw = {base64.b64decode(x.split()[0]).lower() for x in f}
-        pieces = sorted(p for p in raw if len(p) <= LONGEST_PIECE)
+        pieces = sorted(raw)
         self.n = len(pieces)
         self.lengths = np.array([len(p) for p in pieces])
+        self.sizes = np.unique(self.lengths)
+        self.lift = np.power(LIFT, np.where(self.lengths <= LONGEST, self.lengths, 0))  # longer pieces are in no word of a lattice
         h = np.array([int(sum((int(_VALUE_LOWER[b]) * pow(BASE, i, 1 << 64)) for i, b in enumerate(p)) % (1 << 64)) for p in pieces], np.uint64)
         self.levels, left = [], np.arange(self.n)
         while len(left):
@@ -84,7 +87,7 @@ class Lattice:
         self.arcs = []
         for j in range(1, self.top + 1):
             k = self.alive[j]
-            for n in range(1, min(j, LONGEST_PIECE) + 1):
+            for n in pieces.sizes[pieces.sizes <= j].tolist():
                 found = pieces.find((prefix[j, :k] - prefix[j - n, :k]) * _INV[j - n])
                 hit = np.flatnonzero(found < pieces.n)
                 if len(hit):
@@ -121,15 +124,62 @@ class Lattice:
         return out
 
 
-def _runs(starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cut words of LONGEST bytes and more into runs of LONGEST - 1."""
-    n = -((starts - ends) // (LONGEST - 1))
-    if n.max(initial=0) <= 1:
-        return starts, ends, rows
-    before = np.concatenate([[0], np.cumsum(n)])
-    inner = np.arange(before[-1]) - np.repeat(before[:-1], n)
-    s = np.repeat(starts, n) + inner * (LONGEST - 1)
-    return s, np.minimum(s + LONGEST - 1, np.repeat(ends, n)), before[rows]
+def _arcs(pieces: Pieces, word: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, piece) of the arcs of one word that end in (a, b], ascending by end."""
+    lo = max(0, a - int(pieces.sizes[-1]))
+    power, inverse = _powers(BLOCK + int(pieces.sizes[-1]))
+    prefix = np.concatenate([[np.uint64(0)], np.cumsum(_VALUE_LOWER[word[lo:b]] * power[: b - lo], dtype=np.uint64)])
+    starts, ends, numbers = [], [], []
+    for n in pieces.sizes[pieces.sizes <= b - lo].tolist():
+        first = max(a + 1 - n, 0) - lo  # of the arcs that end after a
+        at = np.arange(max(first, 0), b - lo - n + 1)
+        found = pieces.find((prefix[at + n] - prefix[at]) * inverse[at])
+        hit = found < pieces.n
+        starts.append(at[hit] + lo)
+        ends.append(at[hit] + lo + n)
+        numbers.append(found[hit])
+    start, end, number = map(np.concatenate, (starts, ends, numbers))
+    order = np.argsort(end, kind="stable")
+    return start[order], end[order], number[order]
+
+
+def _sums(at: np.ndarray, to: np.ndarray, flow: np.ndarray, values: np.ndarray, base: int) -> None:
+    """values[to - base] = log of the sum of exp(values[at - base] + flow), for arcs in the order in which their values become known."""
+    edge = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist() + [len(to)]
+    for a, b in zip(edge, edge[1:]):
+        values[to[a] - base] = np.logaddexp.reduce(values[at[a:b] - base] + flow[a:b], axis=0)
+
+
+def long_score(pieces: Pieces, word: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+    """Log-likelihoods, by language, of one word of any length (its bytes with the leading space); only one block of it is held at a time."""
+    tail, reach = np.zeros((1, log_p.shape[1])), int(pieces.sizes[-1])
+    for a in range(0, len(word), BLOCK):
+        b = min(a + BLOCK, len(word))
+        start, end, number = _arcs(pieces, word, a, b)
+        values = np.full((len(tail) + b - a, log_p.shape[1]), -np.inf)
+        values[: len(tail)] = tail
+        _sums(start, end, log_p[number], values, a + 1 - len(tail))
+        tail = values[-reach:]
+    return tail[-1]
+
+
+def long_expect(pieces: Pieces, word: np.ndarray, log_p: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece by language, for one word seen ``counts`` times (by languages)."""
+    arcs = [_arcs(pieces, word, a, min(a + BLOCK, len(word))) for a in range(0, len(word), BLOCK)]
+    start, end, number = map(np.concatenate, zip(*arcs))
+    flow = log_p[number]
+    forward = np.full((len(word) + 1, log_p.shape[1]), -np.inf)
+    backward = forward.copy()
+    forward[0] = backward[-1] = 0
+    _sums(start, end, flow, forward, 0)
+    back = np.argsort(-start, kind="stable")
+    _sums(end[back], start[back], flow[back], backward, 0)
+    used = np.exp(forward[start] + flow + backward[end] - forward[-1]) * counts
+    return np.stack([np.bincount(number, used[:, k], pieces.n) for k in range(used.shape[1])], axis=1)
+
+
+def _with_space(data: np.ndarray, start: int, end: int) -> np.ndarray:
+    return np.concatenate([np.array([32], np.uint8), data[start:end]])
 
 
 @dataclass
@@ -150,6 +200,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.pieces = model, Pieces(model.path)
+        self.log_p = np.log(model.p / self.pieces.lift[:, None])
         self.forget()
 
     def forget(self) -> None:
@@ -161,7 +212,7 @@ class Scorer:
         for a, b, data, offsets in blocks(column):
             if not len(data):
                 continue
-            starts, ends, rows = _runs(*spans(data, offsets))
+            starts, ends, rows = spans(data, offsets)
             if not len(starts):
                 continue
             unique, first, which = np.unique(Hashes(data, lower=True).of(starts, ends), return_index=True, return_inverse=True)
@@ -176,9 +227,11 @@ class Scorer:
                 own = first[new]
                 got = np.empty((len(own), out.shape[1]), np.float32)
                 lengths = ends[own] - starts[own]
-                for few in (np.flatnonzero(lengths < 24), np.flatnonzero(lengths >= 24)):
+                for few in (np.flatnonzero(lengths < 24), np.flatnonzero((lengths >= 24) & (lengths < LONGEST))):
                     if len(few):
                         got[few] = Lattice(self.pieces, data, starts[own[few]], lengths[few]).scores(self.model.p)
+                for k in np.flatnonzero(lengths >= LONGEST).tolist():
+                    got[k] = long_score(self.pieces, _with_space(data, starts[own[k]], ends[own[k]]), self.log_p)
                 self.known = np.insert(self.known, at[new], unique[new])
                 self.kept = np.insert(self.kept, at[new], got, axis=0)
                 at = np.searchsorted(self.known, unique)
@@ -204,7 +257,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", ident: str
             for a, b, data, offsets in blocks(x.column(0)):
                 if not len(data):
                     continue
-                starts, ends, places = _runs(*spans(data, offsets))
+                starts, ends, places = spans(data, offsets)
                 number = np.unique(np.asarray(x.column(1).slice(a, b - a).to_pylist(), object).astype(str), return_inverse=True)
                 owner = np.repeat(number[1], np.diff(places))
                 key = Hashes(data, lower=True).of(starts, ends)
@@ -227,13 +280,17 @@ def _learn(words, languages: list[str], n_rows: np.ndarray, path: str) -> Model:
     lengths = np.array([len(w) for w in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     starts = np.cumsum(lengths) - lengths
-    lift = np.power(LIFT, pieces.lengths)[:, None]
+    lift = pieces.lift[:, None]
     p = np.full((pieces.n, len(languages)), 1 / pieces.n)
     for _ in range(ROUNDS):
         used = np.zeros_like(p)
         by_length = np.argsort(lengths, kind="stable")
-        for a in range(0, len(texts), 20_000):
-            own = by_length[a : a + 20_000]
+        short = int((lengths < LONGEST).sum())
+        log_p = np.log(p)
+        for k in by_length[short:].tolist():
+            used += long_expect(pieces, _with_space(data, starts[k], starts[k] + lengths[k]), log_p, counts[k])
+        for a in range(0, short, 20_000):
+            own = by_length[a : min(a + 20_000, short)]
             used += Lattice(pieces, data, starts[own], lengths[own]).expect(p * lift, counts[own])
         p = (1 - EVEN_SHARE) * used / np.maximum(used.sum(0), 1e-300) + EVEN_SHARE / pieces.n
     return Model(languages, np.log(n_rows / n_rows.sum()), p * lift, path)
@@ -247,12 +304,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score, which replace columns of these names.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text if the model knows no language. Otherwise score is the
-    probability of the predicted language given the text; ties go to the language that sorts first. An empty table stays empty.
+    probability of the predicted language given the text; ties go to the language that sorts first. Texts and words of any length are read whole;
+    repeated rows are judged each, alike; other columns are kept, whatever their names. An empty table stays empty.
     """
     prepare(docs.sparkSession)
     kept = docs.drop("lang_pred", "score")
     names = kept.columns
-    read = kept.withColumn("_letter", has_letter(F.col(text)))
+    read = kept.select("*", has_letter(F.col(text)).alias(fresh("letter", kept)))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer() if model.languages else None

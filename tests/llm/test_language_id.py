@@ -12,7 +12,7 @@ def test_forward_sums_all_segmentations_and_backward_agrees():
     pieces = L.Pieces(default_vocabulary())
     rng = np.random.default_rng(0)
     p = rng.random((pieces.n, 2)) / pieces.n
-    lifted = p * np.power(L.LIFT, pieces.lengths)[:, None]
+    lifted = p * pieces.lift[:, None]
     words = [b"the", b"nation", b"xq7", "été".encode(), b"a"]
     data = np.frombuffer(b"".join(words), np.uint8)
     lengths = np.array([len(w) for w in words])
@@ -20,13 +20,13 @@ def test_forward_sums_all_segmentations_and_backward_agrees():
     import base64
 
     raw = sorted({base64.b64decode(x.split()[0]).lower() for x in open(default_vocabulary(), "rb")} - {b""})
-    number = {w: i for i, w in enumerate(x for x in raw if len(x) <= L.LONGEST_PIECE)}
+    number = {w: i for i, w in enumerate(raw)}
 
     def total(w, k, memo):
         if not w:
             return 1.0
         if w not in memo:
-            memo[w] = sum(p[number[w[:n]], k] * total(w[n:], k, memo) for n in range(1, min(len(w), L.LONGEST_PIECE) + 1) if w[:n] in number)
+            memo[w] = sum(p[number[w[:n]], k] * total(w[n:], k, memo) for n in range(1, len(w) + 1) if w[:n] in number)
         return memo[w]
 
     lattice = L.Lattice(pieces, data, starts, lengths)
@@ -58,3 +58,31 @@ def test_no_labels_and_no_rows(spark):
     model = L.fit(docs.limit(0))
     assert {r.lang_pred for r in L.predict(docs, model).collect()} == {"und"}
     assert L.predict(docs.limit(0), model).count() == 0
+
+
+def test_long_words_agree_with_the_lattice_and_across_blocks(monkeypatch):
+    pieces = L.Pieces(default_vocabulary())
+    assert pieces.lengths.max() == 128
+    rng = np.random.default_rng(1)
+    p = rng.random((pieces.n, 2)) / pieces.n
+    lattice = lambda w: L.Lattice(pieces, np.frombuffer(w, np.uint8), np.zeros(1, np.int64), np.array([len(w)]))
+    spaced = lambda w: L._with_space(np.frombuffer(w, np.uint8), 0, len(w))
+    for w in (b"x", b"internationalisation", "b\u00e9b\u00e9".encode() * 9, b"-" * 60):
+        assert L.long_score(pieces, spaced(w), np.log(p)) == pytest.approx(lattice(w).scores(p * pieces.lift[:, None])[0], rel=1e-9)
+        want = lattice(w).expect(p * pieces.lift[:, None], np.array([[2.0, 3.0]]))
+        assert L.long_expect(pieces, spaced(w), np.log(p), np.array([2.0, 3.0])) == pytest.approx(want, abs=1e-9)
+    long = b"https://example.org/" + b"path-" * 300 + b"=" * 400
+    whole = L.long_score(pieces, spaced(long), np.log(p))
+    monkeypatch.setattr(L, "BLOCK", 37)
+    assert L.long_score(pieces, spaced(long), np.log(p)) == pytest.approx(whole, rel=1e-12)
+    used = L.long_expect(pieces, spaced(long), np.log(p), np.ones(2))
+    assert (used * pieces.lengths[:, None]).sum(0) == pytest.approx(len(long) + 1)
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    docs, _ = _docs(spark, 20)
+    wide = docs.withColumn("_letter", docs.lang).withColumn("letter", docs.lang)
+    out = L.predict(wide.unionByName(wide), L.fit(wide)).collect()
+    once = {r.doc_id: (r.lang_pred, r._letter, r.letter) for r in out}
+    assert len(out) == 2 * docs.count() and all((r.lang_pred, r._letter, r.letter) == once[r.doc_id] for r in out)
+    assert all(a == b for _, a, b in once.values())
