@@ -305,8 +305,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: st
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark item. Rows with a null ident are judged by their text like others."""
-    found = leaks(docs.select(F.struct(F.col(ident).alias("i"), F.xxhash64(text).alias("h")).alias("_key"), text), benchmark, ident="_key", text=text)
-    bad = found.select(F.col("_key.i").alias("_i"), F.col("_key.h").alias("_h")).distinct()
-    marked = docs.withColumn("_hash", F.xxhash64(text))
-    return marked.join(bad, marked[ident].eqNullSafe(bad["_i"]) & (marked["_hash"] == bad["_h"]), "left_anti").drop("_hash")
+    """``docs`` without the rows whose text holds a benchmark item. Rows with a null ident are judged by their text like others; repeated rows go or
+    stay together; other columns are kept, whatever their names; null and empty texts stay; an empty table on either side changes nothing."""
+    same = F.struct(F.col(ident).alias("i"), F.xxhash64(text).alias("h"))
+    bad = leaks(docs.select(same.alias("k"), text), benchmark, ident="k", text=text).select("k").distinct()
+    return docs.select(F.struct("*").alias("d"), same.alias("k")).join(bad, "k", "left_anti").select("d.*")

@@ -113,19 +113,20 @@ def drop_recurring(docs: DataFrame, least: int = 3, ident: str = "doc_id", text:
     """``docs`` with the recurring lines taken out of their texts, and the columns n_lines and dropped (the numbers of the lines, from 0).
 
     All rows stay, those whose lines are all dropped with an empty text. A null text stays null, with no lines; an empty text has one empty line.
-    Lines end at line feeds only. Repeated rows are treated alike; columns of ``docs`` that clash with the two are replaced; an empty table stays
+    Lines end at line feeds only. Repeated rows are treated alike; columns of ``docs`` that clash with the two are replaced, all others kept; an empty table stays
     empty. ``least`` is the number of different texts from which a template recurs; ``exact`` the
     number from which a line of any length recurs token for token (None: lines of SHORT_LINE tokens stay, and equal longer ones need ``least``).
     """
     kept = docs.drop("n_lines", "dropped")
-    hits = recurring_lines(kept, least, ident, text, exact).select(F.col(ident).alias("_i"), F.col("_hash").alias("_h"), "dropped")
-    marked = kept.withColumn("_hash", F.xxhash64(text))
-    joined = marked.join(hits, marked[ident].eqNullSafe(hits["_i"]) & (marked["_hash"] == hits["_h"]), "left")
-    lines = F.split(F.col(text), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("dropped"), i)), "\n")
-    new = F.when(F.col("dropped").isNull(), F.col(text)).otherwise(left)
+    same = F.struct(F.col(ident).alias("i"), F.xxhash64(text).alias("h"))
+    hits = recurring_lines(kept.select(ident, text), least, ident, text, exact).select(F.struct(F.col(ident).alias("i"), F.col("_hash").alias("h")).alias("k"), F.col("dropped").alias("gone"))
+    joined = kept.select(F.struct("*").alias("d"), same.alias("k")).join(hits, "k", "left")
+    own = F.col("d")[text]
+    lines = F.split(own, "\n", -1)
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    new = F.when(F.col("gone").isNull(), own).otherwise(left)
     return joined.select(
-        *[new.alias(c) if c == text else kept[c] for c in kept.columns],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
-        F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
+        *[(new if c == text else F.col("d")[c]).alias(c) for c in kept.columns],
+        F.when(own.isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
+        F.coalesce("gone", F.array().cast("array<int>")).alias("dropped"),
     )

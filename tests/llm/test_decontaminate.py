@@ -74,3 +74,12 @@ def test_short_items_are_found_whole(spark):
     df = spark.createDataFrame([(i, f"some words {'unheard of' if i % 2 else 'of unheard'} among the others {i}") for i in range(20)], "doc_id long, text string")
     bench = spark.createDataFrame([(0, "Unheard of!")], "item_id long, text string")
     assert {r.doc_id for r in D.leaks(df, bench).collect() if r.common_words == 2} == set(range(1, 20, 2))
+
+
+def test_clashing_columns_are_kept(spark):
+    from notewell.llm.decontaminate import decontaminate
+
+    item = "the small boat crossed the wide river before the storm came and nobody saw it leave the harbour that night"
+    df = spark.createDataFrame([(1, item, 5, "x"), (2, "quite another text about bread and butter", 6, "y"), (None, None, 7, "z")], "doc_id long, text string, _hash long, k string")
+    out = decontaminate(df, spark.createDataFrame([(0, item)], "item_id long, text string")).collect()
+    assert sorted((r._hash, r.k) for r in out) == [(6, "y"), (7, "z")]

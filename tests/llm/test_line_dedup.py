@@ -82,3 +82,11 @@ def test_rows_of_numbers_recur_only_if_equal(spark):
     rows = [(i, f"{i} {i * 3}.5 {2000 + i}\n7 8 9\nTotal {i} {i + 1} {i + 2}\nPage {i} of 10") for i in range(1, 9)]
     out = {r.doc_id: r.dropped for r in D.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"), exact=2).collect()}
     assert out == {i: [] if i == 1 else [1, 3] for i in range(1, 9)}
+
+
+def test_clashing_columns_are_kept(spark):
+    from notewell.llm.line_dedup import drop_recurring
+
+    df = spark.createDataFrame([(1, "same line here\na b c", 5, "x", "d"), (2, "same line here\nd e f", 6, "y", "k")], "doc_id long, text string, _hash long, _i string, d string")
+    out = {r.doc_id: r for r in drop_recurring(df, exact=2).collect()}
+    assert (out[2].text, out[2]._hash, out[2]._i, out[2].d) == ("d e f", 6, "y", "k") and out[1].text == "same line here\na b c"
