@@ -7,8 +7,10 @@ the declared type is corrected to the one found at the start, and media embedded
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare
+from .runtime import fresh, prepare
 
 PAD_UNIT = 576
 SAMPLE_RATE = 8000
@@ -24,7 +26,7 @@ SAMPLE_RATE = 8000
 SNIFFED = "media_type string, valid boolean, declared_ok boolean, length long, details string, embedded array<struct<media_type:string,start:long,length:long,content:binary>>"
 
 
-def _wav(b: bytes, at: int) -> tuple[int, str] | None:
+def _wav(b: bytes, at: int, marks: Marks) -> tuple[int, str] | None:
     if len(b) < at + 44 or b[at + 8 : at + 12] != b"WAVE":
         return None
     size = struct.unpack_from("<I", b, at + 4)[0] + 8
@@ -43,7 +45,7 @@ def _wav(b: bytes, at: int) -> tuple[int, str] | None:
     return None
 
 
-def _png(b: bytes, at: int) -> tuple[int, str] | None:
+def _png(b: bytes, at: int, marks: Marks) -> tuple[int, str] | None:
     pos, shape = at + 8, None
     while pos + 12 <= len(b):
         n, kind = struct.unpack_from(">I4s", b, pos)
@@ -59,7 +61,7 @@ def _png(b: bytes, at: int) -> tuple[int, str] | None:
     return None
 
 
-def _gif(b: bytes, at: int) -> tuple[int, str] | None:
+def _gif(b: bytes, at: int, marks: Marks) -> tuple[int, str] | None:
     if len(b) < at + 14:
         return None
     width, height, flags = struct.unpack_from("<HHB", b, at + 6)
@@ -81,7 +83,7 @@ def _gif(b: bytes, at: int) -> tuple[int, str] | None:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> tuple[int, str] | None:
+def _jpeg(b: bytes, at: int, marks: Marks) -> tuple[int, str] | None:
     pos, shape = at + 2, None
     while pos + 4 <= len(b) and b[pos] == 0xFF:
         mark = b[pos + 1]
@@ -92,25 +94,48 @@ def _jpeg(b: bytes, at: int) -> tuple[int, str] | None:
             shape = struct.unpack_from(">HH", b, pos + 5)
         pos += 2 + n
         if mark == 0xDA:
-            end = b.find(b"\xff\xd9", pos)
+            end = marks.next(b"\xff\xd9", pos)
             return (end + 2 - at, f"width={shape[1]} height={shape[0]}") if end >= 0 and shape else None
     return None
 
 
-def _pdf(b: bytes, at: int) -> tuple[int, str] | None:
-    end = b.find(b"%%EOF", at)
-    return (end + 5 - at, f"version={b[at + 5 : at + 8].decode('latin-1')}") if end >= 0 and b[at + 5 : at + 6].isdigit() else None
+class Marks:
+    """Where a byte string stands in a blob: all its places, found once, so that many signatures that look for one end don't each search to it."""
 
+    def __init__(self, b: bytes):
+        self.b, self.places = b, {}
 
-def _zip(b: bytes, at: int) -> tuple[int, str] | None:
-    end = b.find(b"PK\x05\x06", at)
+    def of(self, mark: bytes) -> list[int]:
+        if mark not in self.places:
+            self.places[mark] = [m.start() for m in re.finditer(re.escape(mark), self.b)]
+        return self.places[mark]
+
+    def next(self, mark: bytes, at: int) -> int:
+        """The first place from ``at`` on, or -1."""
+        places = self.of(mark)
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+
+def _pdf(b: bytes, at: int, marks: Marks) -> tuple[int, str] | None:
+    """Up to the last end marker before the next PDF header or the blob's end: files saved in increments have an end marker for each."""
+    if not b[at + 5 : at + 6].isdigit():
+        return None
+    stop = marks.next(b"%PDF-", at + 5)
+    ends = marks.of(b"%%EOF")
+    k = bisect_left(ends, len(b) if stop < 0 else stop) - 1
+    return (ends[k] + 5 - at, f"version={b[at + 5 : at + 8].decode('latin-1')}") if k >= 0 and ends[k] >= at else None
+
+
+def _zip(b: bytes, at: int, marks: Marks) -> tuple[int, str] | None:
+    end = marks.next(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return None
     entries, size, offset, note = struct.unpack_from("<HIIH", b, end + 10)
     return (end + 22 + note - at, f"entries={entries}") if at + offset + size == end and end + 22 + note <= len(b) else None
 
 
-def _gzip(b: bytes, at: int) -> tuple[int, str] | None:
+def _gzip(b: bytes, at: int, marks: Marks) -> tuple[int, str] | None:
     out = zlib.decompressobj(31)
     n = pos = 0
     pos = at
@@ -123,14 +148,73 @@ def _gzip(b: bytes, at: int) -> tuple[int, str] | None:
     return (min(pos, len(b)) - len(out.unused_data) - at, f"inflated={n}") if out.eof else None
 
 
-def _flac(b: bytes, at: int) -> tuple[int, str] | None:
-    if len(b) < at + 42 or b[at + 4] & 0x7F or int.from_bytes(b[at + 5 : at + 8], "big") != 34:
-        return None
-    return len(b) - at, f"rate={int.from_bytes(b[at + 18 : at + 21], 'big') >> 4}"
+#: Block sizes and sample rates that a FLAC frame header's codes announce with 1 or 2 more bytes.
+_MORE_SIZE, _MORE_RATE = {6: 1, 7: 2}, {12: 1, 13: 2, 14: 2}
+
+
+def _crc8(x: bytes) -> int:
+    """Polynomial x^8 + x^2 + x + 1, as FLAC frame headers have it."""
+    c = 0
+    for v in x:
+        c ^= v
+        for _ in range(8):
+            c = (c << 1 ^ 7 if c & 0x80 else c << 1) & 0xFF
+    return c
+
+
+@lru_cache(maxsize=1)
+def _crc16_table() -> list[int]:
+    out = []
+    for v in range(256):
+        c = v << 8
+        for _ in range(8):
+            c = (c << 1 ^ 0x8005 if c & 0x8000 else c << 1) & 0xFFFF
+        out.append(c)
+    return out
+
+
+def _flac_header(b: bytes, at: int) -> bool:
+    """Whether a frame header stands here: sync code, no reserved value, right checksum."""
+    if len(b) < at + 6 or b[at] != 0xFF or b[at + 1] & 0xFE != 0xF8 or b[at + 2] >> 4 == 0 or b[at + 2] & 15 == 15 or b[at + 3] >> 4 > 10 or b[at + 3] & 1:
+        return False
+    lead = b[at + 4]
+    number = 1 if lead < 0x80 else next((n for n in range(2, 8) if lead >> (7 - n) == (1 << n + 1) - 2), 0)
+    end = at + 4 + number + _MORE_SIZE.get(b[at + 2] >> 4, 0) + _MORE_RATE.get(b[at + 2] & 15, 0)
+    return number > 0 and end < len(b) and _crc8(b[at:end]) == b[end]
+
+
+def _flac(b: bytes, at: int, marks: Marks) -> tuple[int, str] | None:
+    """Metadata blocks up to the last one, then frames: each begins with a right header and ends where its checksum of 16 bits is right. The last
+    frame has no header behind it, so it ends at the first place whose checksum is right."""
+    pos, last, rate = at + 4, False, 0
+    while not last:
+        if pos + 4 > len(b):
+            return None
+        last, kind, n = bool(b[pos] & 0x80), b[pos] & 0x7F, int.from_bytes(b[pos + 1 : pos + 4], "big")
+        if pos + 4 + n > len(b) or kind == 127 or (pos == at + 4) != (kind == 0) or kind == 0 and n != 34:
+            return None
+        if kind == 0:
+            rate = int.from_bytes(b[pos + 14 : pos + 17], "big") >> 4
+        pos += 4 + n
+    table, stop = _crc16_table(), marks.next(b"fLaC", pos)
+    stop = len(b) if stop < 0 else stop
+    while _flac_header(b, pos):
+        c, end = 0, 0
+        for k in range(pos, stop):  # the checksum over a frame and its own checksum is zero
+            c = (c << 8 & 0xFFFF) ^ table[c >> 8 ^ b[k]]
+            if c == 0 and k - pos > 8:
+                end = end or k + 1
+                if k + 1 == stop or _flac_header(b, k + 1):
+                    end = k + 1
+                    break
+        if not end:
+            break
+        pos = end
+    return pos - at, f"rate={rate}"
 
 
 #: Magic bytes, where they stand from the start of the media, media type.
-SIGNATURES: list[tuple[bytes, str, Callable[[bytes, int], tuple[int, str] | None]]] = [
+SIGNATURES: list[tuple[bytes, str, Callable[[bytes, int, Marks], tuple[int, str] | None]]] = [
     (b"RIFF", "audio/wav", _wav),
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
     (b"GIF87a", "image/gif", _gif),
@@ -159,10 +243,11 @@ def sniff(blob: bytes | None) -> list[tuple[str, int, int, str]]:
     found, free = [], 0
     if not blob:
         return found
+    marks = Marks(blob)
     for last, k in _automaton().iter(blob.decode("latin-1")):
         magic, kind, confirm = SIGNATURES[k]
         at = last + 1 - len(magic)
-        if at >= free and (got := confirm(blob, at)):
+        if at >= free and (got := confirm(blob, at, marks)):
             found.append((kind, at, got[0], got[1]))
             free = 1 if at == 0 else at + got[0]
     return found
@@ -171,7 +256,8 @@ def sniff(blob: bytes | None) -> list[tuple[str, int, int, str]]:
 def sniff_media(df: DataFrame, content: str = "content", declared: str | None = None) -> DataFrame:
     """``df`` with the columns of SNIFFED: the type confirmed at the start (else ``application/octet-stream``, not valid), whether the declared
     type is right, the confirmed length, and what was carved from further on. Null or empty content: octet-stream, length 0, nothing carved.
-    Columns of ``df`` that clash with these are replaced.
+    Columns of ``df`` that clash with these are replaced; repeated rows and null ids are rows like others; blobs of any length are read whole; an empty
+    table stays empty.
     """
     prepare(df.sparkSession)
     names = [x.split()[0] for x in SNIFFED.replace("array<struct<media_type:string,start:long,length:long,content:binary>>", "x").split(", ")]
@@ -188,8 +274,9 @@ def sniff_media(df: DataFrame, content: str = "content", declared: str | None =
         inner = [(t, a, n, bytes(blob[a : a + n])) for t, a, n, _ in found if a]
         return (kind, head is not None, None if said is None else said == kind, head[2] if head else len(blob or b""), head[3] if head else "", inner)
 
-    out = kept.withColumn("_sniffed", look(F.col(content), F.col(declared) if declared else F.lit(None).cast("string")))
-    return out.select(*kept.columns, "_sniffed.*")
+    found = fresh("sniffed", kept)
+    out = kept.withColumn(found, look(F.col(content), F.col(declared) if declared else F.lit(None).cast("string")))
+    return out.select(*kept.columns, f"{found}.*")
 
 
 def as_wav(payload: bytes) -> bytes:

@@ -54,3 +54,50 @@ def test_texts_round_trip(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert r.media_bytes == len(payload) + 44
     assert media.text_media(df.limit(0)).count() == 0
+
+
+def _crc(x, bits, poly):
+    c = 0
+    for v in x:
+        c ^= v << (bits - 8)
+        for _ in range(8):
+            c = (c << 1 ^ poly if c >> (bits - 1) else c << 1) & ((1 << bits) - 1)
+    return c
+
+
+def _flac(frames, extra=b""):
+    info = struct.pack(">HH", 16, 16) + bytes(6) + (8000 << 4).to_bytes(3, "big") + bytes(21)
+    out = b"fLaC" + (b"\x00" if extra else b"\x80") + (34).to_bytes(3, "big") + info
+    if extra:
+        out += b"\x84" + len(extra).to_bytes(3, "big") + extra
+    for n in range(frames):
+        head = b"\xff\xf8\x64\x08" + bytes([n, 15])
+        frame = head + bytes([_crc(head, 8, 7)]) + b"\x00" + bytes([n, 7, 200, 3])
+        out += frame + _crc(frame, 16, 0x8005).to_bytes(2, "big")
+    return out
+
+
+def test_flac_ends_with_its_last_frame():
+    for blob in (_flac(0), _flac(1), _flac(5), _flac(2, b"a comment")):
+        assert media.sniff(blob) == [("audio/flac", 0, len(blob), "rate=8000")]
+        assert media.sniff(blob + b"junk" * 5)[0][:3] == ("audio/flac", 0, len(blob))
+        assert [x[:3] for x in media.sniff(b"??" + blob + GIF)] == [("audio/flac", 2, len(blob)), ("image/gif", 2 + len(blob), len(GIF))]
+    assert media.sniff(_flac(0)[:30]) == []
+
+
+def test_pdf_saved_twice_and_many_headers():
+    import time
+
+    twice = b"%PDF-1.4\nbody\n%%EOF\nmore\n%%EOF"
+    assert media.sniff(twice)[0][:3] == ("application/pdf", 0, len(twice))
+    assert [x[:3] for x in media.sniff(b"-" + twice + twice)] == [("application/pdf", 1, len(twice)), ("application/pdf", 1 + len(twice), len(twice))]
+    begun = time.perf_counter()
+    assert media.sniff(b"%PDF-1" * 200_000) == [] == media.sniff(b"PK\x03\x04" * 200_000)
+    assert time.perf_counter() - begun < 20
+
+
+def test_null_ids_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "abc"), (None, "abc"), (1, "abc"), (1, "abc")], "doc_id long, text string")
+    out = media.media_digests(media.text_media(df)).collect()
+    assert len(out) == 4 and sorted(str(r.doc_id) for r in out) == ["1", "1", "None", "None"]
+    assert len({r.media_sha256 for r in out}) == 1 and out[0].feature.startswith("audio/wav")

@@ -32,3 +32,14 @@ def test_empty_few_and_repeated(spark):
     assert len(out) == 3 and set(out["size"]) == {2, 1}
     for _, g in out.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
+
+
+def test_overfull_ranges_are_numbered_in_parts_and_null_ids_are_dealt(spark):
+    texts = ["t%d " % i * 30 for i in range(3000)] + ["middling " * 20] * 12 + ["long " * 4000]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, "heavy null " * 9, "x")] * 900
+    out = shard_by_bytes(spark.createDataFrame(rows, KIND).repartition(5)).toPandas()
+    assert len(out) == len(rows) and out[out.doc_id.between(3000, 3011)].shard.nunique() == 1
+    for _, g in out.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    load = out.groupby("shard")["size"].sum()
+    assert len(load) == 8 and load.max() < 1.08 * load.mean()
