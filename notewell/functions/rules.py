@@ -388,3 +388,7 @@ class Vocabulary:
 
     drugs: list[str] = field(default_factory=_default_terms)
     brands: dict[str, str] = field(default_factory=lambda: dict(BRANDS))
+
+#: Fixed values: (system, code, display) of a FHIR Condition's clinical and verification status.
+CONDITION_ACTIVE = ("http://terminology.hl7.org/CodeSystem/condition-clinical", "active", "Active")
+CONDITION_CONFIRMED = ("http://terminology.hl7.org/CodeSystem/condition-ver-status", "confirmed", "Confirmed")

@@ -46,16 +46,27 @@ def medication_request(m: Column, mode: str = "strict") -> Column:
     return F.struct(lit("MedicationRequest").alias("resourceType"), lit("active").alias("status"), lit("order").alias("intent"), concept.alias("medicationCodeableConcept"), F.filter(F.array(F.when(present, one)), lambda x: x.isNotNull()).alias("dosageInstruction"))
 
 
-def _of_entity(kind: str, e: Column) -> Column:
-    return F.struct(F.lit(kind).alias("resourceType"), F.lit("final" if kind == "Observation" else "active").alias("status"), F.struct(e["text"].alias("text")).alias("code"))
+def _status(value: tuple[str, str, str]) -> Column:
+    system, code, shown = map(F.lit, value)
+    return F.struct(F.array(F.struct(system.alias("system"), code.alias("code"), shown.alias("display"))).alias("coding"))
+
+
+def condition(e: Column) -> Column:
+    """Condition of a disease entity: active and confirmed."""
+    return F.struct(F.lit("Condition").alias("resourceType"), _status(rules.CONDITION_ACTIVE).alias("clinicalStatus"), _status(rules.CONDITION_CONFIRMED).alias("verificationStatus"), F.struct(e["text"].alias("text")).alias("code"))
+
+
+def observation(e: Column) -> Column:
+    """Observation of a lab entity, whose text is both what was observed and its value."""
+    return F.struct(F.lit("Observation").alias("resourceType"), F.lit("final").alias("status"), F.struct(e["text"].alias("text")).alias("code"), e["text"].alias("valueString"))
 
 
 def bundle(notes: DataFrame, doc: str = "doc_id", meds: str = "meds", entities: str = "entities", mode: str = "strict") -> DataFrame:
     """(doc, n_medication, n_condition, n_observation, bundle): JSON of a transaction bundle, medications first, then diseases, then labs."""
     entry = lambda r, url: F.to_json(F.struct(r.alias("resource"), F.struct(F.lit("POST").alias("method"), F.lit(url).alias("url")).alias("request")))
     requests = F.transform(meds, lambda m: entry(medication_request(m, mode), "MedicationRequest"))
-    conditions = F.transform(F.filter(entities, lambda e: e["label"] == "DISEASE"), lambda e: entry(_of_entity("Condition", e), "Condition"))
-    labs = F.transform(F.filter(entities, lambda e: e["label"] == "LAB"), lambda e: entry(_of_entity("Observation", e), "Observation"))
+    conditions = F.transform(F.filter(entities, lambda e: e["label"] == "DISEASE"), lambda e: entry(condition(e), "Condition"))
+    labs = F.transform(F.filter(entities, lambda e: e["label"] == "LAB"), lambda e: entry(observation(e), "Observation"))
     body = F.concat(F.lit('{"resourceType":"Bundle","type":"transaction","entry":['), F.array_join(F.concat(requests, conditions, labs), ","), F.lit("]}"))
     return notes.select(doc, F.size(requests).cast("long").alias("n_medication"), F.size(conditions).cast("long").alias("n_condition"), F.size(labs).cast("long").alias("n_observation"), body.alias("bundle"))
 

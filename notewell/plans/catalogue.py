@@ -490,10 +490,10 @@ def phi_is_free(s, d):
     return damaged(s, d).select("note_id", phi.is_free(F.col("text")).alias("is_free"))
 
 
-@query(f"select doc_id, text as email from ({q.spans('''(select * from documents where lang = 'en')''', 'doc_id', rules.PHI_SERVICE['EMAIL'])})")
+@query(f"select doc_id, text as email from ({q.spans('documents', 'doc_id', rules.PHI_SERVICE['EMAIL'])})")
 def phi_email_docs(s, d):
     found = phi.service_findings(F.col("text"))
-    return table(s, d, "documents").where("lang = 'en'").select("doc_id", F.explode(F.filter(found, lambda x: x["label"] == "EMAIL")).alias("s")).select("doc_id", F.col("s.text").alias("email"))
+    return table(s, d, "documents").select("doc_id", F.explode(F.filter(found, lambda x: x["label"] == "EMAIL")).alias("s")).select("doc_id", F.col("s.text").alias("email"))
 
 
 SIMPLE_PHI = "select note_id, case note_id % 3 when 0 then 'SSN 123-45-6789 ok' when 1 then 'mail a.b@example.org 555-123-4567' else '12 34' end as text from (" + NOTES + ")"
@@ -629,14 +629,46 @@ def _bundles(s, d):
     return fhir.bundle(n)
 
 
+# One document a dose, frequency, route, disease and lab of its own, so that every field of the resources is told apart.
+RESOURCES = (
+    "select doc_id, coalesce(lang, 'none') as drug, case when doc_id % 4 < 3 then concat(doc_id % 9 + 1, case when doc_id % 2 = 0 then ' ml' else '.5 tablets' end) end as dosage,"
+    " case doc_id % 5 when 0 then 'Twice daily' when 1 then 'as needed' when 2 then 'hourly' when 3 then 'at bedtime' end as frequency, case doc_id % 3 when 0 then 'oral' when 1 then 'Intravenous' end as route,"
+    " concat(coalesce(source, 'other'), ' disease') as disease, concat('level ', coalesce(n_chars, 0)) as lab from documents"
+)
+
+
+def _resources_sql() -> str:
+    status = lambda v: "json_object('coding', json_array(json_object('system', '{}', 'code', '{}', 'display', '{}')))".format(*v)
+    entry = lambda kind, fields: f"json_object('resource', {fields}, 'request', json_object('method', 'POST', 'url', '{kind}'))"
+    frequency = q.case("lower(frequency)", sorted(rules.FREQUENCY_CODES, key=lambda x: -len(x[0])), q.quote("PRN"), "contains")
+    route = q.case("lower(route)", rules.ROUTE_CODES, q.quote("26643006"), "contains")
+    coding = lambda system, code, shown: f"json_object('coding', json_array(json_object('system', '{system}', 'code', {code}, 'display', {shown})))"
+    unit = "coalesce(nullif(regexp_extract(dosage, '(\\d+\\.?\\d*)\\s*([a-zA-Z]+)', 2), ''), 'mg')"
+    value = "coalesce(try_cast(nullif(regexp_extract(dosage, '(\\d+\\.?\\d*)', 1), '') as double), 0.0)"
+    dose = f"json_object('text', dosage, 'doseAndRate', json_array(json_object('doseQuantity', json_object('value', {value}, 'unit', {unit}, 'system', 'http://unitsofmeasure.org', 'code', {unit}))))"
+    timing = f"json_object('timing', json_object('code', {coding('http://terminology.hl7.org/CodeSystem/v3-GTSAbbreviation', frequency, 'frequency')}))"
+    way = f"json_object('route', {coding('http://snomed.info/sct', route, 'route')})"
+    parts = f"list_filter([case when dosage is not null then {dose}::varchar end, case when frequency is not null then {timing}::varchar end, case when route is not null then {way}::varchar end], lambda x: x is not null)"
+    merged = f"case when len({parts}) = 0 then '[]' else '[{{' || array_to_string(list_transform({parts}, lambda x: x[2:-2]), ',') || '}}]' end"
+    concept = "json_object('coding', json_array(json_object('system', 'http://www.nlm.nih.gov/research/umls/rxnorm', 'code', '', 'display', drug)), 'text', drug)"
+    med = entry("MedicationRequest", f"json_object('resourceType', 'MedicationRequest', 'status', 'active', 'intent', 'order', 'medicationCodeableConcept', {concept}, 'dosageInstruction', ({merged})::json)")
+    sick = entry("Condition", f"json_object('resourceType', 'Condition', 'clinicalStatus', {status(rules.CONDITION_ACTIVE)}, 'verificationStatus', {status(rules.CONDITION_CONFIRMED)}, 'code', json_object('text', disease))")
+    seen = entry("Observation", "json_object('resourceType', 'Observation', 'status', 'final', 'code', json_object('text', lab), 'valueString', lab)")
+    return f"""select doc_id, 1::bigint as n_medication, 1::bigint as n_condition, 1::bigint as n_observation,
+ '{{"resourceType":"Bundle","type":"transaction","entry":[' || {med}::varchar || ',' || {sick}::varchar || ',' || {seen}::varchar || ']}}' as bundle from ({RESOURCES}) """
+
+
 @query(f"""with c as (select note_id, count(*) as n from ({_conditions_sql("DISEASE")}) group by 1) select x.note_id as doc_id, (x.note_id % 3)::bigint as n_medication, coalesce(c.n, 0)::bigint as n_condition, 0::bigint as n_observation from ({DAMAGED}) x left join c on c.note_id = x.note_id""")
 def fhir_bundle_counts(s, d):
     return _bundles(s, d).drop("bundle")
 
 
-@query()
+@query(_resources_sql())
 def fhir_bundle_json(s, d):
-    return _bundles(s, d)
+    n = view(s, d, RESOURCES)
+    med = F.struct("drug", "dosage", "frequency", "route")
+    found = F.array(F.struct(F.lit("LAB").alias("label"), F.col("lab").alias("text")), F.struct(F.lit("DISEASE").alias("label"), F.col("disease").alias("text")))
+    return fhir.bundle(n.select("doc_id", F.array(med).alias("meds"), found.alias("entities")))
 
 
 CONCEPTS = [("1191", "aspirin", "Aspirin", "asa"), ("5640", "ibuprofen", "Ibuprofen", "ibu"), ("17767", "amlodipine", "Amlodipine", None), ("36567", "omeprazole", "Omeprazole", "prilosec")]
@@ -657,11 +689,11 @@ def rxnorm_normalize(s, d):
 
 
 @query(
-    f"with p(a, b, severity) as (values {_values(PAIR)}), m as (select distinct doc_id % 50 as doc_id, case doc_id % 3 when 0 then '1191' when 1 then '5640' else '17767' end as rxcui from documents where doc_id % 7 < 5)"
+    f"with p(a, b, severity) as (values {_values(PAIR)}), m as (select distinct doc_id // 3 as doc_id, case doc_id % 7 when 0 then '1191' when 1 then '5640' when 2 then '1191' else '17767' end as rxcui from documents)"
     " select x.doc_id, p.a, p.b, p.severity from m x join p on p.a = x.rxcui join m y on y.doc_id = x.doc_id and y.rxcui = p.b"
 )
 def rxnorm_interactions(s, d):
-    m = table(s, d, "documents").where("doc_id % 7 < 5").select((F.col("doc_id") % 50).alias("doc_id"), F.when(F.col("doc_id") % 3 == 0, "1191").when(F.col("doc_id") % 3 == 1, "5640").otherwise("17767").alias("rxcui"))
+    m = table(s, d, "documents").select(F.floor(F.col("doc_id") / 3).alias("doc_id"), F.when((F.col("doc_id") % 7).isin(0, 2), "1191").when(F.col("doc_id") % 7 == 1, "5640").otherwise("17767").alias("rxcui"))  # three documents a patient
     return fhir.interactions(m, s.createDataFrame(PAIR, "rxcui_a string, rxcui_b string, severity string"))
 
 
