@@ -392,3 +392,22 @@ class Vocabulary:
 #: Fixed values: (system, code, display) of a FHIR Condition's clinical and verification status.
 CONDITION_ACTIVE = ("http://terminology.hl7.org/CodeSystem/condition-clinical", "active", "Active")
 CONDITION_CONFIRMED = ("http://terminology.hl7.org/CodeSystem/condition-ver-status", "confirmed", "Confirmed")
+
+#: Labels that the anatomy and chemistry model may give, and the names under which labels are shown.
+BIO_MODEL_LABELS = ["ANATOMY", "CHEMICAL", "ORGANISM"]
+DISPLAY_LABELS = {
+    "FREQUENCY_LATIN": "Frequency",
+    "FORM": "Dosage Form",
+    "STRENGTH": "Strength",
+    "DURATION": "Duration",
+    "ROUTE": "Route",
+    "DRUG": "Drug",
+    "DOSAGE": "Dosage",
+    "DISEASE": "Disease",
+    "SYMPTOM": "Symptom",
+    "ANATOMY": "Anatomy",
+    "PROCEDURE": "Procedure",
+    "LAB": "Lab",
+    "LATIN_INSTRUCTION": "Instruction",
+    "UNCERTAIN": "Uncertain",
+}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import let, title
-from .spans import SPAN
+from .spans import SPAN, closest_terms
 
 
 def one_of(value: Column, words: list[str]) -> Column:
@@ -228,6 +228,32 @@ def confidence_band(score: Column) -> Column:
     return F.when(F.coalesce(score, F.lit(0.0)) == 0, "N/A").when(score >= 0.9, "High").when(score >= 0.7, "Medium").otherwise("Low")
 
 
+def needs_review(score: Column, verified: Column) -> Column:
+    """(below 0.8, below 0.9) of an unverified medication that has a confidence; zero counts as none."""
+    open_ = ~F.coalesce(verified, F.lit(False)) & (F.coalesce(score, F.lit(0.0)) != 0)
+    return F.struct((open_ & (score < 0.8)).alias("warn"), (open_ & (score < 0.9)).alias("ask"))
+
+
+def display_label(label: Column) -> Column:
+    return mapped(label, rules.DISPLAY_LABELS, label)
+
+
+def of_bio_model(entities: Column) -> Column:
+    """The anatomy and chemistry model's entities, without labels that other layers find better."""
+    return F.filter(entities, lambda e: one_of(e["label"], rules.BIO_MODEL_LABELS))
+
+
+def normalise_drug_names(names: DataFrame, vocabulary: rules.Vocabulary, name: str = "name") -> DataFrame:
+    """(name, clean, fuzzy_matched) for each distinct name: cleaned, and where that is no known term, the most similar term of at least 75 instead.
+
+    Works on distinct cleaned names, so the comparison with the vocabulary grows with the number of different unknown names.
+    """
+    clean = names.select(name).distinct().withColumn("clean", clean_drug_name(F.col(name), vocabulary)).withColumn("low", F.lower("clean"))
+    best = closest_terms(clean.where(~F.coalesce(F.col("low").isin(*vocabulary.drugs), F.lit(True))), vocabulary, "low")
+    out = clean.join(best, "low", "left")
+    return out.select(name, F.coalesce(title(F.col("term")), F.col("clean")).alias("clean"), F.col("term").isNotNull().alias("fuzzy_matched"))
+
+
 def normalise_entities(entities: Column, vocabulary: rules.Vocabulary) -> Column:
     """Cleaned names for DRUG spans."""
     return F.transform(entities, lambda e: F.when(e["label"] == "DRUG", span(clean_drug_name(e["text"], vocabulary), e["label"], e["start"], e["end"], e)).otherwise(e))

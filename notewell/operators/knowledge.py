@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from .entities import category
 
 
@@ -57,3 +58,27 @@ def interpret(knowledge: DataFrame, least: int = 1) -> DataFrame:
     drugs = k.where("category = 'drug'").select(F.lit("drug").alias("kind"), "term", F.lower("corrected").alias("value"))
     labels = k.where("category = 'entity' and corrected like '%::%'").select(F.lit("label").alias("kind"), "term", label.alias("value"))
     return corrections.unionByName(drugs).unionByName(labels)
+
+
+#: The most learned terms that a vocabulary may hold: it becomes part of the plan.
+MOST_LEARNED = 20_000
+
+
+def known_terms(knowledge: DataFrame, vocabulary: rules.Vocabulary) -> DataFrame:
+    """(term, value): the vocabulary's terms (value null) and brands with what the knowledge adds: learned drugs and corrections, which replace brands."""
+    spark = knowledge.sparkSession
+    learned = interpret(knowledge)
+    rows = [(t, None) for t in vocabulary.drugs] + list(vocabulary.brands.items())
+    fixed = spark.createDataFrame(rows, "term string, value string")
+    corrections = learned.where("kind = 'correction'").groupBy("term").agg(F.min("value").alias("value"))
+    drugs = learned.where("kind = 'drug'").select(F.col("value").alias("term"), F.lit(None).cast("string").alias("value"))
+    brands = fixed.where("value is not null").join(corrections, "term", "left_anti").unionByName(corrections)
+    return fixed.where("value is null").unionByName(drugs).distinct().unionByName(brands)
+
+
+def extended(knowledge: DataFrame, vocabulary: rules.Vocabulary) -> rules.Vocabulary:
+    """The vocabulary with what was learned; an error if that is more than MOST_LEARNED terms."""
+    rows = known_terms(knowledge, vocabulary).orderBy("term", "value").limit(MOST_LEARNED + len(vocabulary.drugs) + len(vocabulary.brands) + 1).collect()
+    if len(rows) > MOST_LEARNED + len(vocabulary.drugs) + len(vocabulary.brands):
+        raise ValueError("too many learned terms for a vocabulary")
+    return rules.Vocabulary(drugs=sorted({r["term"] for r in rows if r["value"] is None}), brands={r["term"]: r["value"] for r in rows if r["value"] is not None})

@@ -90,6 +90,25 @@ def drug_spans(text: Column, vocabulary: rules.Vocabulary) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(terms, of))), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
 
 
+def missed_drugs(text: Column, start: Column, end: Column, vocabulary: rules.Vocabulary) -> Column:
+    """Every match at word boundaries of every known term, then of every brand, within text[start:end): terms the longest first, then in text order.
+
+    This is the strict form; matches that overlap are all given, in the order of their terms.
+    """
+    inner = F.substring(text, start + 1, end - start)
+    listed = [*sorted(vocabulary.drugs, key=lambda t: (-len(t), t)), *vocabulary.brands]
+    quoted = lambda t: F.concat(F.lit(r"\b\Q"), t, F.lit(r"\E\b"))
+
+    def of(low: Column) -> Column:
+        some = F.filter(F.array(*[F.lit(t.lower()) for t in listed]), lambda t: low.contains(t))
+        return F.flatten(F.transform(some, lambda t: spans(low, quoted(t), "DRUG", 0.85, 3, inner)))
+
+    def moved(s: Column) -> Column:
+        return F.struct(s["text"].alias("text"), s["label"].alias("label"), (s["start"] + start).cast("int").alias("start"), (s["end"] + start).cast("int").alias("end"), s["score"].alias("score"), s["layer"].alias("layer")).cast(SPAN)
+
+    return F.transform(let(F.lower(inner), of), moved)
+
+
 def common_subsequence(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two strings, row by row of the usual table."""
     n = F.length(b)

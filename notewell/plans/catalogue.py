@@ -209,6 +209,21 @@ def span_drug_dictionary(s, d):
     return _span_rows(damaged(s, d), spans.drug_spans(F.col("text"), VOCABULARY))
 
 
+def _missed_sql() -> str:
+    """Matches within characters 5 to 90 of each note, term by term."""
+    rows = ", ".join(f"({q.quote(t)}, {q.quote('D')})" for t in VOCABULARY.drugs) + ", " + ", ".join(f"({q.quote(t.lower())}, {q.quote('B')})" for t in VOCABULARY.brands)
+    return f"""with n as (select note_id, text[6:90] as inner_text, lower(text[6:90]) as low from ({DAMAGED})), v(term, kind) as (values {rows}),
+p as (select note_id, inner_text, term, kind, string_split_regex(low, '\\b' || regexp_escape(term) || '\\b') as g from n join v on contains(low, term)),
+c as (select *, unnest(range(1, len(g))) as i from p)
+select note_id, substr(inner_text, (st + 1)::int, length(term)) as text, (st + 5)::int as start, (st + 5 + length(term))::int as "end" from (
+ select note_id, inner_text, term, list_sum(list_transform(g[1:i], lambda x: length(x))) + (i - 1) * length(term) as st from c)"""
+
+
+@query(_missed_sql())
+def span_missed_drugs(s, d):
+    return _span_rows(damaged(s, d), spans.missed_drugs(F.col("text"), F.lit(5), F.lit(90), VOCABULARY))
+
+
 @query()
 def span_drug_fuzzy(s, d):
     return spans.fuzzy_spans(damaged(s, d), VOCABULARY)
@@ -389,6 +404,18 @@ def label_lookups(s, d):
     return _entities(s, d).select("doc_id", entities.label_of_model(label).alias("mapped"), entities.colour(label).alias("colour"), entities.category(label).alias("category"))
 
 
+@query(f"select doc_id, {q.case('label', rules.DISPLAY_LABELS, 'label')} as shown, label in {q.listed(rules.BIO_MODEL_LABELS)} as of_bio from ({ENTITIES})")
+def label_display(s, d):
+    one = F.array(F.struct("label"))
+    return _entities(s, d).select("doc_id", entities.display_label(F.col("label")).alias("shown"), (F.size(entities.of_bio_model(one)) > 0).alias("of_bio"))
+
+
+@query(f"select doc_id, k, coalesce(score <> 0 and score < 0.8 and k % 3 <> 0, false) as warn, coalesce(score <> 0 and score < 0.9 and k % 3 <> 0, false) as ask from ({ENTITIES})")
+def review_flags(s, d):
+    flags = entities.needs_review(F.col("score"), F.col("k") % 3 == 0)
+    return _entities(s, d).select("doc_id", "k", F.coalesce(flags["warn"], F.lit(False)).alias("warn"), F.coalesce(flags["ask"], F.lit(False)).alias("ask"))
+
+
 @query(f"select doc_id, case when score is null or score = 0 then 'N/A' when score >= 0.9 then 'High' when score >= 0.7 then 'Medium' else 'Low' end as band from ({ENTITIES})")
 def confidence_band(s, d):
     return _entities(s, d).select("doc_id", entities.confidence_band(F.col("score")).alias("band"))
@@ -562,6 +589,18 @@ def knowledge_interpret(s, d):
     return knowledge.interpret(_merged(s, d))
 
 
+def _known_sql() -> str:
+    brands = ", ".join(f"({q.quote(k)}, {q.quote(v)})" for k, v in VOCABULARY.brands.items())
+    interpreted = ORACLES["knowledge_interpret"]
+    return f"""with i as ({interpreted}), f(term) as (values {q.values(VOCABULARY.drugs)}), b(term, value) as (values {brands}), c as (select term, min(value) as value from i where kind = 'correction' group by 1)
+select distinct term, null::varchar as value from (select term from f union all select value from i where kind = 'drug') union all select term, value from b where term not in (select term from c) union all select * from c"""
+
+
+@query(_known_sql())
+def knowledge_vocabulary(s, d):
+    return knowledge.known_terms(_merged(s, d), VOCABULARY)
+
+
 # ---- review ----
 def _extractions(s, d):
     e = F.transform(F.sequence(F.lit(0), F.col("n_entities")), lambda i: F.struct(F.concat(F.lit("e"), i.cast("string")).alias("text"), F.lit("DRUG").alias("label"), i.alias("start"), (i + 2).alias("end"), (F.col("score") * (i + 1) / 13.0).alias("score")))
@@ -732,18 +771,17 @@ def ocr_select(s, d):
 
 
 WORDS = "select event_id % 500 as image_id, case event_id % 3 when 0 then 'default' when 1 then 'handwritten' else 'printed' end as pass, cast(event_id % 3 as int) as pass_no, event_type as word, cast(event_id % 101 as double) - 1.0 as conf from events"
-PASS_SQL = f"select image_id, pass, pass_no, coalesce(round(avg(case when conf > 0 then conf end) / 100.0, 2), 0.0::double) as mean_confidence, count(case when conf > 0 then 1 end) as word_count from ({WORDS}) group by 1, 2, 3"
+PASS_SQL = f"select image_id, pass, pass_no, coalesce(cast(format('{{:.2f}}', avg(case when conf > 0 then conf end) / 100.0::double) as double), 0.0::double) as mean_confidence, count(case when conf > 0 then 1 end) as word_count from ({WORDS}) group by 1, 2, 3"
 
 
-@query()
+@query(PASS_SQL)
 def ocr_pass_confidence(s, d):
     return ocr.pass_confidence(view(s, d, WORDS))
 
 
-@query(f"select image_id, arg_max(word_count, (word_count * 10 - pass_no)) as word_count from ({PASS_SQL}) group by 1")
+@query(f"select image_id, pass, mean_confidence, word_count from (select *, row_number() over (partition by image_id order by mean_confidence desc, pass_no) as r from ({PASS_SQL})) where r = 1")
 def ocr_best_pass(s, d):
-    passes = ocr.pass_confidence(view(s, d, WORDS)).withColumn("mean_confidence", F.col("word_count").cast("double"))
-    return ocr.best_pass(passes).select("image_id", "word_count")
+    return ocr.best_pass(ocr.pass_confidence(view(s, d, WORDS)))
 
 
 @query(f"select image_id, word, max(conf) as conf from ({WORDS}) group by 1, 2")

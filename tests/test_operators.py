@@ -169,3 +169,32 @@ def test_knowledge_stream(spark, tmp_path):
         apply(spark.createDataFrame([("a", f"v{n}", "drug", n, 0)], kind), epoch)
     got = spark.read.parquet(f"{tmp_path}/version=1").collect()
     assert [(r.term, r.corrected, r.confidence, r.sources) for r in got] == [("a", "v2", 2, "1,2")]
+
+
+def test_unknown_names_become_the_nearest_term(spark):
+    vocabulary = rules.Vocabulary(drugs=["amoxicillin", "aspirin", "ibuprofen"])
+    names = spark.createDataFrame([("amoxicilin",), ("Aspirin",), ("zzzz",), ("ibuprofan",), ("ibuprofan",)], "name string")
+    out = {r.name: (r.clean, r.fuzzy_matched) for r in entities.normalise_drug_names(names, vocabulary).collect()}
+    assert out == {"amoxicilin": ("Amoxicillin", True), "Aspirin": ("Aspirin", False), "zzzz": ("Zzzz", False), "ibuprofan": ("Ibuprofen", True)}
+
+
+def test_missed_drugs_longest_first_within_the_segment(spark):
+    vocabulary = rules.Vocabulary(drugs=["insulin", "insulin glargine"], brands={"panadol": "paracetamol"})
+    got = one(spark, spans.missed_drugs(F.col("t"), F.lit(4), F.lit(40), vocabulary), t="xyz Insulin glargine, PANADOL, insulins insulin")
+    assert [(s.text, s.start, s.end) for s in got] == [("Insulin glargine", 4, 20), ("Insulin", 4, 11), ("PANADOL", 22, 29)]
+
+
+def test_learned_vocabulary_and_its_bound(spark, monkeypatch):
+    kind = "term string, corrected string, category string, confidence double"
+    k = spark.createDataFrame([("asprin", "Aspirin", "drug", 2.0), ("newdrug", "newdrug", "drug", 1.0), ("low", "Lowe", "drug", 0.5), ("rash", "rash::symptom", "entity", 3.0)], kind)
+    v = knowledge.extended(k, rules.Vocabulary(drugs=["ibuprofen"], brands={"panadol": "paracetamol"}))
+    assert v.drugs == ["aspirin", "ibuprofen", "newdrug"] and v.brands == {"panadol": "paracetamol", "asprin": "Aspirin"}
+    monkeypatch.setattr(knowledge, "MOST_LEARNED", 1)
+    with pytest.raises(ValueError):
+        knowledge.extended(k, rules.Vocabulary(drugs=["ibuprofen"], brands={}))
+
+
+def test_hundredths_follow_the_exact_double(spark):
+    values = [k / 200 for k in range(201)] + [k / 1000 for k in range(1001)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert all(r.h == round(r.v, 2) for r in df.select("v", ocr.hundredths(F.col("v")).alias("h")).collect())
