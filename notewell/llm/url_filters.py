@@ -1,10 +1,12 @@
 """URL filtering by a tree of path templates, in DataFrame operations only.
 
-Each url's path is a way down a tree below its host, LEVELS segments deep. Runs of digits become ``{n}``, and at each node the segments that hold
-fewer than one in RARE of the node's urls become ``{*}``, so the ways turn into templates. Urls that a rule decides are the labelled ones. Going
-down from all urls to the first segment on any host, the host, its first segment and the template, a branch whose labelled share of blocks is
-not significantly different from that of the branch above is merged into it; one that is gets a share of its own, smoothed towards the one
-above. Urls without a rule are blocked if their template's share is at least BLOCK_FROM.
+Each url's path is a way down a tree below its host, of any depth. Runs of digits become ``{n}``. At each node the segments with little support
+become ``{*}``: fewer than SUPPORT urls, and fewer than one in RARE of the node's. A node is gone down as long as the ways through it differ
+further on. Urls that a rule decides are the labelled ones. A url's share of blocks starts as that of all labelled urls and is made finer by its
+first segment on any host, by its host, then node by node. Siblings are merged with the node above if their labels can't be told apart from the
+node's, and those above it, like those below it, with each other; one that stands apart from those it is merged with has a share of its own.
+Shares are smoothed towards the one before. Merging concerns shares; the templates of merged branches stay apart. Urls without a rule are blocked
+if their share is at least BLOCK_FROM.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .runtime import cut, skew_lookup
 
-LEVELS, RARE = 3, 20
+#: A segment is a branch of its own with so many urls, or with one in so many of its node's.
+SUPPORT, RARE = 20, 20
 #: Square of the normal deviate at which a branch stands apart (two-sided 5 %), weight of the share above it, share from which to block.
 APART, WEIGHT, BLOCK_FROM = 3.84, 4.0, 0.5
 
@@ -42,59 +45,74 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return which, action
 
 
-def _generalise(ways: DataFrame) -> DataFrame:
-    """Add the template of each way down. ways: host, s1 to sLEVELS (null beyond the path's end), deep, n."""
-    t = ways.withColumn("node", F.concat(F.col("host"), F.lit("\u0001"))).withColumn("template", F.lit(""))
-    for d in range(1, LEVELS + 1):
-        seg = f"s{d}"
-        children = cut(t.where(F.col(seg).isNotNull()).groupBy("node", seg).agg(F.sum("n").alias("n"), F.count("*").alias("ways")))
-        totals = cut(children.groupBy("node").agg(F.sum("n").alias("total"), F.count("*").alias("_n"), F.sum("ways").alias("ways")))
-        kept = skew_lookup(children, totals.select("node", "total"), ["node"], totals.select("node", "_n")).where(F.col("n") * RARE >= F.col("total"))
-        kept = kept.groupBy("node").agg(F.collect_list(seg).alias("kept"))  # RARE at most
-        t = skew_lookup(t, kept, ["node"], totals.select("node", F.col("ways").alias("_n")), how="left")
-        g = F.when(F.col(seg).isNull(), F.lit(None)).when(F.array_contains("kept", F.col(seg)), F.col(seg)).otherwise(F.lit("{*}"))
-        t = t.withColumn(f"g{d}", g).withColumn("template", F.concat("template", F.coalesce(F.concat(F.lit("/"), f"g{d}"), F.lit(""))))
-        t = cut(t.withColumn("node", F.concat("node", F.coalesce(f"g{d}", F.lit("")), F.lit("\u0001"))).drop("kept"))
-    return t.withColumn("template", F.concat(F.when(F.col("template") == "", "/").otherwise(F.col("template")), F.when(F.col("deep"), "/**").otherwise("")))
-
-
 def _finer(share: Column, n: Column, bad: Column) -> Column:
     """A branch's share: its own, smoothed, if it stands apart from the one above, else that one."""
     apart = (n > 0) & ((bad - n * share) * (bad - n * share) >= F.lit(APART) * n * share * (F.lit(1.0) - share))
     return F.when(apart, (bad + F.lit(WEIGHT) * share) / (n + F.lit(WEIGHT))).otherwise(share)
 
 
+def _down(ways: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One step down the tree: the ways that are done, with way, template and share, and those to go on with.
+
+    ways: way, node, rest (what follows the node), template, share, n, seen, bad. All lookups of hot nodes are dealt by salt.
+    """
+    seg = F.substring_index("rest", "/", 1)
+    ways = ways.withColumn("seg", seg).withColumn("rest", F.expr("substr(rest, length(seg) + 2)"))
+    after = F.xxhash64("rest")
+    kids = cut(ways.groupBy("node", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "seen", "bad")], F.count("*").alias("_n"), F.min(after).alias("lo"), F.max(after).alias("hi")))
+    nodes = kids.groupBy("node").agg(F.sum("n").alias("all"), F.sum("seen").alias("s"), F.sum("bad").alias("b"), F.count("*").alias("_n"))
+    branch_of = F.when((F.col("seg") == "") | (F.col("n") >= SUPPORT) | (F.col("n") * RARE >= F.col("all")), F.col("seg")).otherwise("{*}")
+    named = cut(skew_lookup(kids.withColumnRenamed("_n", "ways"), nodes.drop("_n"), ["node"], nodes.select("node", "_n")).withColumn("g", branch_of))
+    branches = named.groupBy("node", "g").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"), F.first("s").alias("s"), F.first("b").alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("_n"))
+    rate = F.col("b") / F.greatest("s", F.lit(1)).cast("double")
+    off = F.col("bad") - F.col("seen") * rate
+    apart = (rate > 0) & (rate < 1) & (off * off >= F.lit(APART) * F.col("seen") * rate * (F.lit(1.0) - rate)) & (F.col("seen") > 0)
+    branches = cut(branches.withColumn("side", F.when(apart, F.signum(off).cast("int")).otherwise(0)))
+    sums = [F.sum(F.when(F.col("side") == k, F.col(c)).otherwise(0)).alias(f"{c}{name}") for k, name in ((1, "up"), (-1, "down")) for c in ("seen", "bad")]
+    pools = branches.groupBy("node").agg(*sums, F.count("*").alias("_n"))
+    pooled = skew_lookup(branches.withColumnRenamed("_n", "kids"), pools.drop("_n"), ["node"], pools.select("node", "_n"))
+    pick = lambda c: F.when(F.col("side") > 0, F.col(f"{c}up")).otherwise(F.col(f"{c}down")).cast("double")
+    pooled = pooled.select("node", "g", "side", F.col("seen").cast("double").alias("own_seen"), F.col("bad").cast("double").alias("own_bad"), pick("seen").alias("pool_seen"), pick("bad").alias("pool_bad"), (F.col("lo") == F.col("hi")).alias("single"))
+    known = skew_lookup(named.select("node", "g", "seg"), pooled, ["node", "g"], branches.select("node", "g", "_n"))
+    t = skew_lookup(ways, known, ["node", "seg"], kids.select("node", "seg", "_n"))
+    finer = _finer(_finer(F.col("share"), F.col("pool_seen"), F.col("pool_bad")), F.col("own_seen"), F.col("own_bad"))
+    t = t.withColumn("share", F.when(F.col("side") == 0, F.col("share")).otherwise(finer)).withColumn("node", F.concat_ws("/", "node", "g"))
+    t = cut(t.withColumn("template", F.when(F.col("g") == "", F.col("template")).otherwise(F.concat_ws("/", "template", "g"))))
+    return _finished(t.where("single")), t.where("not single").select("way", "node", "rest", "template", "share", "n", "seen", "bad")
+
+
+def _finished(ways: DataFrame) -> DataFrame:
+    whole = F.concat("template", F.when(F.col("rest") == "", "").otherwise(F.concat(F.lit("/"), F.col("rest"))))
+    return ways.select("way", F.when(whole == "", "/").otherwise(whole).alias("template"), "share")
+
+
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, ident: str = "page_id", url: str = "url") -> DataFrame:
     """ident, host, path, rule, verdict, template, share (that of blocks in the merged branch) for each row of ``pages``.
 
     A null url, or one without ``://``, has an empty host and path and is judged by the branch of the empty host like others; so are urls of no
-    path. Repeated urls count each. Without any labelled url the share is one half of nothing known and everything without a rule is blocked
-    only if BLOCK_FROM allows it. Other columns are ignored; an empty table gives no rows.
+    path. Very long paths are read whole. Repeated urls count each. Without any labelled url the share is one half of nothing known and everything
+    without a rule is blocked only if BLOCK_FROM allows it. Other columns are ignored; an empty table gives no rows.
     """
     rules = RULES if rules is None else rules
     host, path = host_and_path(F.col(url))
     read = pages.select(F.col(ident), host.alias("host"), path.alias("path"))
     which, action = rule_of(F.col("host"), F.col("path"), rules)
-    segments = F.transform(F.filter(F.split("path", "/"), lambda x: x != ""), lambda x: F.regexp_replace(x, "[0-9]+", "{n}"))
-    read = read.withColumn("rule", which).withColumn("action", action).withColumn("segs", segments)
-    for d in range(1, LEVELS + 1):
-        read = read.withColumn(f"s{d}", F.get("segs", F.lit(d - 1)))
-    read = read.withColumn("deep", F.size("segs") > LEVELS).withColumn("way", F.concat_ws("\u0001", "host", *[F.coalesce(f"s{d}", F.lit("\u0002")) for d in range(1, LEVELS + 1)], F.col("deep").cast("string"))).drop("segs")
-    steps = [f"s{d}" for d in range(1, LEVELS + 1)]
-    ways = read.groupBy("way", "host", *steps, "deep").agg(F.count("*").alias("n"), F.count("action").alias("seen"), F.count_if(F.col("action") == "block").alias("bad"))
-    t = _generalise(cut(ways))
-    first = F.coalesce("g1", F.lit(""))
-    total = t.agg(F.sum("seen").alias("n"), F.sum("bad").alias("b")).first()
-    share = F.lit(((total["b"] or 0) + 1.0) / ((total["n"] or 0) + 2.0))
-    leaf = t.groupBy("host", first.alias("g"), "template").agg(F.sum("seen").alias("n3"), F.sum("bad").alias("b3"))
-    branch = leaf.groupBy("host", "g").agg(F.sum("n3").alias("n2"), F.sum("b3").alias("b2"))
-    hosts = branch.groupBy("host").agg(F.sum("n2").alias("n1"), F.sum("b2").alias("b1"))
-    ways_in = branch.groupBy("g").agg(F.sum("n2").alias("n0"), F.sum("b2").alias("b0"))
-    judged = leaf.join(branch, ["host", "g"]).join(hosts, "host").join(ways_in, "g").withColumn("share", share)
-    for k in range(4):
-        judged = judged.withColumn("share", _finer(F.col("share"), F.col(f"n{k}").cast("double"), F.col(f"b{k}").cast("double")))
-    judged = t.withColumn("g", first).join(judged.select("host", "g", "template", "share"), ["host", "g", "template"]).select("way", "template", "share")
-    out = skew_lookup(read.select(ident, "host", "path", "rule", "action", "way"), judged, ["way"], t.select("way", F.col("n").alias("_n")))
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", "[0-9]+", "{n}"), "/+", "/"), "^/|/$", "")
+    read = read.withColumn("rule", which).withColumn("action", action).withColumn("way", F.concat_ws("/", "host", rest))
+    ways = cut(read.groupBy("way", "host", rest.alias("rest")).agg(F.count("*").alias("n"), F.count("action").alias("seen"), F.count_if(F.col("action") == "block").alias("bad")))
+    total = ways.agg(F.sum("seen").alias("n"), F.sum("bad").alias("b")).first()
+    t = ways.withColumn("share", F.lit(((total["b"] or 0) + 1.0) / ((total["n"] or 0) + 2.0))).withColumn("first", F.substring_index("rest", "/", 1)).withColumn("node", F.col("host"))
+    for key in ("first", "node"):
+        part = F.xxhash64("rest")
+        level = cut(t.groupBy(key).agg(F.sum("seen").cast("double").alias("all_seen"), F.sum("bad").cast("double").alias("all_bad"), F.count("*").alias("_n"), (F.min(part) == F.max(part)).alias("single")))
+        t = skew_lookup(t.drop("all_seen", "all_bad", "single"), level.drop("_n"), [key], level.select(key, "_n"))
+        t = t.withColumn("share", _finer(F.col("share"), F.col("all_seen"), F.col("all_bad")))
+    t = cut(t.withColumn("template", F.lit("")))
+    judged, t = _finished(t.where("single")), t.where("not single").select("way", "node", "rest", "template", "share", "n", "seen", "bad")
+    while not t.isEmpty():  # as deep as ways differ
+        done, t = _down(t)
+        judged = judged.unionByName(done)
+    out = skew_lookup(read.select(ident, "host", "path", "rule", "action", "way"), judged, ["way"], ways.select("way", F.col("n").alias("_n")))
     verdict = F.coalesce("action", F.when(F.col("share") >= BLOCK_FROM, "block").otherwise("allow"))
     return out.select(ident, "host", "path", "rule", verdict.alias("verdict"), "template", "share")
 
@@ -109,26 +127,27 @@ def oracle(rules: list[tuple[str, str]] | None = None) -> str:
     by_length = sorted(RULES if rules is None else rules, key=lambda r: (-len(r[1]), r[1]))
     which = "case " + " ".join(f"when {fits(r)} then '{r}'" for _, r in by_length) + " end"
     action = "case " + " ".join(f"when {fits(r)} then '{a}'" for a, r in by_length) + " end"
-    sql = f"""with r as (select page_id, case when strpos(coalesce(url, ''), '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+
+    def finer(share: str, n: str, bad: str) -> str:
+        return f"case when {n} > 0 and ({bad} - {n} * {share}) * ({bad} - {n} * {share}) >= {APART}::double * {n} * {share} * (1.0::double - {share}) then ({bad} + {WEIGHT}::double * {share}) / ({n} + {WEIGHT}::double) else {share} end"
+
+    # one round of the recursion is one step down: segments, branches, sides, pools, shares
+    return f"""with recursive r as (select page_id, case when strpos(coalesce(url, ''), '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
 h as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from r),
-s as (select *, {which} as rule, {action} as act, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(x, '[0-9]+', '{{n}}', 'g')) as segs from h),
-w0 as (select *, len(segs) > {LEVELS} as deep, host || chr(1) as node0 from s)"""
-    for d in range(1, LEVELS + 1):
-        sql += f""",
-c{d} as (select node{d - 1}, segs[{d}] as seg, count(*) as n from w{d - 1} where segs[{d}] is not null group by 1, 2),
-k{d} as (select node{d - 1}, seg from (select *, sum(n) over (partition by node{d - 1}) as t from c{d}) where n * {RARE} >= t),
-w{d} as (select w.*, case when w.segs[{d}] is null then null when k.seg is not null then k.seg else '{{*}}' end as g{d},
- w.node{d - 1} || coalesce(case when w.segs[{d}] is null then null when k.seg is not null then k.seg else '{{*}}' end, '') || chr(1) as node{d} from w{d - 1} w left join k{d} k on k.node{d - 1} = w.node{d - 1} and k.seg = w.segs[{d}])"""
-    joined = " || ".join(f"coalesce('/' || g{d}, '')" for d in range(1, LEVELS + 1))
-    sql += f""",
-t as (select *, coalesce(g1, '') as g, case when {joined} = '' then '/' else {joined} end || case when deep then '/**' else '' end as template from w{LEVELS}),
-leaf as (select host, g, template, count(act) as n3, count(*) filter (where act = 'block') as b3 from t group by 1, 2, 3),
-branch as (select host, g, sum(n3)::double as n2, sum(b3)::double as b2 from leaf group by 1, 2),
-hosts as (select host, sum(n2) as n1, sum(b2) as b1 from branch group by 1), ways as (select g, sum(n2) as n0, sum(b2) as b0 from branch group by 1),
-p0 as (select leaf.host, leaf.g, leaf.template, n0, b0, n1, b1, n2, b2, n3::double as n3, b3::double as b3, (select (sum(b2) + 1.0::double) / (sum(n2) + 2.0::double) from branch) as share
- from leaf join branch using (host, g) join hosts using (host) join ways using (g))"""
-    for k in range(4):
-        p, n, b = "share", f"n{k}", f"b{k}"
-        finer = f"case when {n} > 0 and ({b} - {n} * {p}) * ({b} - {n} * {p}) >= {APART}::double * {n} * {p} * (1.0::double - {p}) then ({b} + {WEIGHT}::double * {p}) / ({n} + {WEIGHT}::double) else {p} end"
-        sql += f",\np{k + 1} as (select * replace ({finer} as share) from p{k})"
-    return sql + f"\nselect page_id, t.host, path, rule, coalesce(act, case when share >= {BLOCK_FROM}::double then 'block' else 'allow' end) as verdict, template from t join p4 using (host, g, template)"
+s as (select *, {which} as rule, {action} as act, regexp_replace(regexp_replace(regexp_replace(path, '[0-9]+', '{{n}}', 'g'), '/+', '/', 'g'), '^/|/$', '', 'g') as rest from h),
+w as (select host, rest, count(*)::double as n, count(act)::double as seen, count(*) filter (where act = 'block')::double as bad from s group by 1, 2),
+w1 as (select *, (select (sum(bad) + 1.0::double) / (sum(seen) + 2.0::double) from w) as share, sum(seen) over f as fs, sum(bad) over f as fb, sum(seen) over o as hs, sum(bad) over o as hb, min(rest) over o = max(rest) over o as single
+ from w window f as (partition by split_part(rest, '/', 1)), o as (partition by host)),
+w2 as (select * replace ({finer("share", "fs", "fb")} as share) from w1), w3 as (select * replace ({finer("share", "hs", "hb")} as share) from w2),
+down as (select host, rest as whole, host as node, rest, '' as template, share, n, seen, bad, single from w3 union all
+ select host, whole, node || '/' || g, rest, case when g = '' then template else template || '/' || g end, case when side = 0 then share else {finer("mid", "own_seen", "own_bad")} end, n, seen, bad, single from (
+ select *, {finer("share", "pool_seen", "pool_bad")} as mid from (
+ select *, sum(seen) over (partition by node, side) as pool_seen, sum(bad) over (partition by node, side) as pool_bad from (
+ select *, case when node_bad > 0 and node_bad < node_seen and own_seen > 0 and off * off >= {APART}::double * own_seen * (node_bad / node_seen) * (1.0::double - node_bad / node_seen) then sign(off)::int else 0 end as side from (
+ select *, own_bad - own_seen * (node_bad / greatest(node_seen, 1)) as off from (
+ select *, sum(seen) over b as own_seen, sum(bad) over b as own_bad, sum(seen) over (partition by node) as node_seen, sum(bad) over (partition by node) as node_bad, min(rest) over b = max(rest) over b as single from (
+ select * exclude (rest), substr(rest, length(seg) + 2) as rest, case when seg = '' or kid >= {SUPPORT} or kid * {RARE} >= sum(n) over (partition by node) then seg else '{{*}}' end as g from (
+ select * exclude (single), split_part(rest, '/', 1) as seg, sum(n) over (partition by node, split_part(rest, '/', 1)) as kid from down where not single))
+ window b as (partition by node, g)))))))
+select page_id, s.host, path, rule, coalesce(act, case when share >= {BLOCK_FROM}::double then 'block' else 'allow' end) as verdict,
+ case when template = '' and d.rest = '' then '/' when d.rest = '' then template else template || '/' || d.rest end as template from s join down d on single and s.host = d.host and s.rest = d.whole"""
