@@ -127,6 +127,17 @@ def cache_key(version: Column, text: Column) -> Column:
     return F.concat(F.lit("ner:"), version, F.lit(":"), F.substring(F.sha2(text, 256), 1, 16))
 
 
+def encode_result(result: Column) -> Column:
+    """A cached result as JSON text; null fields are kept, so that it decodes to itself."""
+    return F.to_json(result, {"ignoreNullFields": "false"})
+
+
+def decode_result(cached: Column, schema: str) -> Column:
+    """The result back; null where the cached text is null or no JSON, which counts as a miss."""
+    got = F.from_json(cached, schema, {"mode": "PERMISSIVE"})
+    return F.when(F.try_parse_json(cached).isNotNull(), got)
+
+
 def json_block(text: Column) -> Column:
     """What stands from the first ``{`` to the last ``}``; null if there is none."""
     got = F.regexp_extract(text, r"(?s)\{.*\}", 0)

@@ -6,8 +6,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as texts
 from ..functions.rules import COMMON_DRUGS
 
+REPLY = "medications array<struct<raw_text:string,drug_name:string,strength:string,dose:string,frequency:string,duration:string,instructions:string,confidence:double>>, illegible boolean"
+
 
 def word_set(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""))
@@ -64,6 +67,36 @@ def best_pass(passes: DataFrame) -> DataFrame:
     return passes.groupBy("image_id").agg(best.alias("b")).select("image_id", "b.*")
 
 
+def fallback(passes: DataFrame, below: float = 0.8) -> DataFrame:
+    """(image_id, text, method, confidence, fallback_triggered, fallback_reason): the second recogniser's text where the best pass is unsure.
+
+    passes: image_id, text, mean_confidence, and other_text, what the second recogniser read (null where it is absent or failed). Its text counts
+    from more than 10 characters, cleaned and normalised; otherwise the pass itself stays, unmarked.
+    """
+    used = (F.coalesce("mean_confidence", F.lit(0.0)) < below) & (F.length(F.trim("other_text")) > 10)
+    used = F.coalesce(used, F.lit(False))
+    reason = F.concat(F.lit("tesseract_confidence_"), F.format_string("%.2f", F.coalesce("mean_confidence", F.lit(0.0))), F.lit(f"_below_{below}"))
+    read = F.when(used, texts.normalise(texts.clean_ocr(F.col("other_text")))).otherwise(F.col("text"))
+    return passes.select("image_id", read.alias("text"), F.when(used, "glm_ocr_fallback").otherwise("multi_pass").alias("method"), F.when(used, 0.9).otherwise(F.col("mean_confidence")).alias("confidence"), used.alias("fallback_triggered"), F.when(used, reason).alias("fallback_reason"))
+
+
+def prescription_of(reply: Column) -> Column:
+    """(text, medications, error) from a vision model's reply: drug names corrected, frequencies written out, labels taken out of the raw texts, which
+    are joined by blanks. A reply without a JSON object gives an error and no medications."""
+    block = texts.json_block(reply)
+
+    def read(m: Column) -> Column:
+        filled = lambda c, fix: F.when(F.length(c) > 0, fix(c)).otherwise(c)
+        return m.withField("frequency", filled(m["frequency"], texts.dosage_notation)).withField("raw_text", filled(m["raw_text"], texts.clean_ocr))
+
+    found = F.coalesce(F.from_json(block, REPLY)["medications"], F.from_json(F.lit('{"medications": []}'), REPLY)["medications"])
+    names = closest_common_drugs(F.transform(found, lambda m: m["drug_name"]))
+    meds = texts.let(F.struct(found.alias("m"), names.alias("d")), lambda x: F.transform(x["m"], lambda m, i: read(m).withField("drug_name", F.get(x["d"], i))))
+    joined = F.array_join(F.transform(meds, lambda m: F.coalesce(m["raw_text"], F.lit(""))), " ")
+    bad = F.when(block.isNull(), "No JSON object found in text").when(F.from_json(block, "map<string,string>").isNull(), "Invalid JSON")
+    return F.struct(joined.alias("text"), meds.alias("medications"), bad.alias("error"))
+
+
 def word_confidence(words: DataFrame) -> DataFrame:
     return words.groupBy("image_id", "word").agg(F.max("conf").alias("conf"))
 
@@ -93,15 +126,26 @@ def source_of(content_type: Column, confidence: Column) -> Column:
     return F.when(content_type == "application/pdf", "pdf").when(content_type.startswith("image/"), F.when(sure < 0.75, "image_handwritten").otherwise("image_printed")).otherwise("text")
 
 
+def _closest(word: str) -> str:
+    from difflib import get_close_matches
+
+    return (get_close_matches(word, COMMON_DRUGS, n=1, cutoff=0.6) or [word])[0] if len(word) >= 3 else word
+
+
+def closest_common_drugs(words: Column) -> Column:
+    """``closest_common_drug`` for each word of an array; null and empty words stay."""
+    @F.pandas_udf("array<string>")
+    def closest(lists: pd.Series) -> pd.Series:
+        seen: dict = {}
+        return lists.map(lambda x: None if x is None else [w if not w else seen.setdefault(w, _closest(w)) for w in x])
+
+    return closest(words)
+
+
 def closest_common_drug(word: Column) -> Column:
     """The closest of the common drug names by Ratcliff-Obershelp similarity of at least 0.6, else the word itself."""
     @F.pandas_udf("string")
     def closest(words: pd.Series) -> pd.Series:
-        from difflib import get_close_matches
-
-        seen: dict = {}
-        for w in words.dropna().unique():
-            seen[w] = (get_close_matches(w, COMMON_DRUGS, n=1, cutoff=0.6) or [w])[0] if len(w) >= 3 else w
-        return words.map(seen)
+        return words.map({w: _closest(w) for w in words.dropna().unique()})
 
     return closest(word)

@@ -8,8 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cache_key
-
 #: Upper bounds of a duration histogram in seconds (the usual defaults of metrics libraries).
 BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0]
 
@@ -18,6 +16,22 @@ def counters(events: DataFrame, *labels: str) -> DataFrame:
     return events.groupBy(*labels).agg(F.count("*").alias("n"))
 
 
+def gauges(events: DataFrame, value: Column, order: Column, *labels: str) -> DataFrame:
+    """(labels, value): the last value that was set, by ``order``."""
+    return events.groupBy(*labels).agg(F.max_by(value, order).alias("value"))
+
+
+def item_status(items: DataFrame, extractions: DataFrame, longest: int = 50_000) -> DataFrame:
+    """(extraction_id, status, error) for each item of a batch or stream: not_found, failed with the reason, or completed. An item fails by itself.
+
+    extractions: id (unique) and raw_text.
+    """
+    known = extractions.select(F.col("id").alias("extraction_id"), F.col("raw_text"), F.lit(True).alias("_known"))
+    out = items.select("extraction_id").join(known, "extraction_id", "left")
+    error = F.when(F.col("_known").isNull(), None).when(F.coalesce(F.trim("raw_text"), F.lit("")) == "", "Text cannot be empty").when(F.length("raw_text") > longest, "Text is too long")
+    return out.select("extraction_id", F.when(F.col("_known").isNull(), "not_found").when(error.isNotNull(), "failed").otherwise("completed").alias("status"), error.alias("error"))
+
+
 def histogram(events: DataFrame, value: str, *labels: str) -> DataFrame:
     """(labels, le, n): cumulative counts up to each bound."""
     wide = events.groupBy(*labels).agg(*[F.count_if(F.col(value) <= b).alias(str(b)) for b in BUCKETS], F.count(value).alias("inf"))
@@ -33,10 +47,10 @@ def hit_rate(events: DataFrame, hit: Column, miss: Column) -> DataFrame:
 def once_per_content(docs: DataFrame, compute, text: str = "text", version: str = "v1") -> DataFrame:
     """Run ``compute`` (DataFrame with _key and the text to DataFrame with _key) on distinct contents only, and join its columns back.
 
-    The key is a hash of the whole content; the text itself is part of the grouping, so different contents never share a result.
+    The key is the whole SHA-256 of version and content; null texts have a key of their own and are computed once, too.
     """
-    keyed = docs.withColumn("_key", cache_key(F.lit(version), F.col(text)))
-    distinct = keyed.select("_key", text).dropDuplicates(["_key", text])
+    keyed = docs.withColumn("_key", F.coalesce(F.sha2(F.concat(F.lit(f"{version}:"), F.col(text)), 256), F.lit("")))
+    distinct = keyed.select("_key", text).dropDuplicates(["_key"])
     return keyed.join(compute(distinct).drop(text), "_key", "left")
 
 

@@ -5,7 +5,6 @@ A query without a statement is one that SQL can't express here (Python's difflib
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -784,6 +783,16 @@ def ocr_best_pass(s, d):
     return ocr.best_pass(ocr.pass_confidence(view(s, d, WORDS)))
 
 
+OTHER = "case image_id % 3 when 0 then null when 1 then ' short ' else 'Tab aspirin 75 mg once daily' end"
+
+
+@query(f"""with b as (select *, {OTHER} as other from (select *, row_number() over (partition by image_id order by mean_confidence desc, pass_no) as r from ({PASS_SQL})) where r = 1), u as (select *, mean_confidence < 0.8 and coalesce(length(trim(other)), 0) > 10 as used from b)
+select image_id, case when used then 'glm_ocr_fallback' else 'multi_pass' end as method, case when used then 0.9::double else mean_confidence end as confidence, used as fallback_triggered, case when used then concat('tesseract_confidence_', format('{{:.2f}}', mean_confidence), '_below_0.8') end as fallback_reason from u""")
+def ocr_fallback(s, d):
+    best = ocr.best_pass(ocr.pass_confidence(view(s, d, WORDS))).withColumn("text", F.lit("")).withColumn("other_text", F.expr(OTHER))
+    return ocr.fallback(best).drop("text")
+
+
 @query(f"select image_id, word, max(conf) as conf from ({WORDS}) group by 1, 2")
 def ocr_word_confidence(s, d):
     return ocr.word_confidence(view(s, d, WORDS))
@@ -845,6 +854,23 @@ def metrics_histogram(s, d):
     return service.histogram(table(s, d, "events").withColumn("seconds", F.col("value") / 100), "seconds", "event_type")
 
 
+@query("select event_type, arg_max(value, event_id) as value from events group by 1")
+def metrics_gauges(s, d):
+    return service.gauges(table(s, d, "events"), F.col("value"), F.col("event_id"), "event_type")
+
+
+@query("select event_id, event_type as label, case when event_id % 3 > 0 then cast(json_extract_string(props, '$.k') as bigint) end as k, event_id % 4 > 0 as hit from events")
+def cache_codec(s, d):
+    """Results with null fields through the cache's text form and back; a broken entry is a miss, its result is computed anew."""
+    result = F.struct(F.col("event_type").alias("label"), F.when(F.col("event_id") % 3 > 0, F.get_json_object("props", "$.k").cast("long")).alias("k"))
+    cached = table(s, d, "events").select("event_id", result.alias("r"), F.when(F.col("event_id") % 4 > 0, text.encode_result(result)).otherwise("{broken").alias("cached"))
+    got = cached.withColumn("got", text.decode_result(F.col("cached"), "label string, k long"))
+    return got.select("event_id", F.coalesce("got", "r").alias("x"), F.col("got").isNotNull().alias("hit")).select("event_id", "x.*", "hit")
+
+
+ITEM_SQL = "select event_id as extraction_id, case when doc_id is null then 'not_found' when trim(text) = '' or length(text) > 400 then 'failed' else 'completed' end as status, case when doc_id is null then null when trim(text) = '' then 'Text cannot be empty' when length(text) > 400 then 'Text is too long' end as error from events left join documents on doc_id = event_id"
+
+
 @query("select h as hits, m as misses, h / greatest(h + m, 1)::double as hit_rate from (select count(*) filter (where event_type = 'view') as h, count(*) filter (where event_type = 'error') as m from events)")
 def cache_hit_rate(s, d):
     return service.hit_rate(table(s, d, "events"), F.col("event_type") == "view", F.col("event_type") == "error")
@@ -915,17 +941,24 @@ def _stream(s, d):
 def stream_windowed_counts(s, d):
     """Daily counts by type as a stream; complete mode, so the last window is there too."""
     counts = jobs.windowed_counts(_stream(s, d)).drop("total")
-    out = jobs.run_once(counts, "notewell_windowed", "complete", tempfile.mkdtemp())
+    out = jobs.run_once(counts, "complete")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @query("select count(distinct event_type) as contents from events")
 def stream_distinct_contents(s, d):
     once = jobs.distinct_contents(_stream(s, d), keep="60 days", text="event_type")
-    return jobs.run_once(once.select("event_type"), "notewell_distinct", "append", tempfile.mkdtemp()).agg(F.countDistinct("event_type").alias("contents"))
+    return jobs.run_once(once.select("event_type")).agg(F.countDistinct("event_type").alias("contents"))
+
+
+@query(ITEM_SQL)
+def stream_item_status(s, d):
+    """Each queued item's status, as a stream joined with the table of extractions."""
+    known = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("raw_text"))
+    return jobs.run_once(service.item_status(_stream(s, d).select(F.col("event_id").alias("extraction_id")), known, 400))
 
 
 @query()
 def stream_rate_limited(s, d):
     limited = jobs.rate_limited(_stream(s, d).select(F.col("user_id").alias("key"), "ts"), 5, 86_400)
-    return jobs.run_once(limited, "notewell_limited", "append", tempfile.mkdtemp())
+    return jobs.run_once(limited)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -54,12 +56,26 @@ def rate_limited(requests: DataFrame, limit: int = 60, seconds: int = 60) -> Dat
     return by_second.groupBy("key").applyInPandasWithState(run, "key string, ts timestamp, allowed boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Drain a stream into an in-memory table and return that."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``; where that is unset a local run takes a temporary one and a cluster fails."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        base = tempfile.mkdtemp()
+    return f"{base}/notewell-{uuid.uuid4().hex}"
+
+
+def run_once(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Drain a stream into a Parquet table under a shared folder and return that; in complete mode the last state of it."""
+    folder = folder or shared_folder(stream.sparkSession)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{folder}/rows")
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/rows"))
+    writer.start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
 def knowledge_loop(deltas: DataFrame, path: str, empty: DataFrame) -> Callable:

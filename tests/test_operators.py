@@ -198,3 +198,42 @@ def test_hundredths_follow_the_exact_double(spark):
     values = [k / 200 for k in range(201)] + [k / 1000 for k in range(1001)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     assert all(r.h == round(r.v, 2) for r in df.select("v", ocr.hundredths(F.col("v")).alias("h")).collect())
+
+
+def test_second_recogniser_only_where_the_first_is_unsure(spark):
+    rows = [(1, "a", 0.5, "DRUG aspirin   75 mg daily"), (2, "b", 0.8, "aspirin 75 mg daily"), (3, "c", 0.1, "  short   "), (4, "d", None, None)]
+    out = {r.image_id: r for r in ocr.fallback(spark.createDataFrame(rows, "image_id long, text string, mean_confidence double, other_text string")).collect()}
+    assert (out[1].text, out[1].confidence, out[1].fallback_reason) == ("aspirin 75 mg daily", 0.9, "tesseract_confidence_0.50_below_0.8")
+    assert [(out[i].text, out[i].fallback_triggered, out[i].fallback_reason) for i in (2, 3, 4)] == [("b", False, None), ("c", False, None), ("d", False, None)]
+
+
+def test_replies_of_vision_models(spark):
+    reply = 'Sure: ```json {"medications": [{"raw_text": "asprin DRUG 75 mg", "drug_name": "asprin", "frequency": "1-0-1"}, {"drug_name": null}], "illegible": false} ```'
+    got = one(spark, ocr.prescription_of(F.col("t")), t=reply)
+    assert got.error is None and [m.drug_name for m in got.medications] == ["Aspirin", None] and got.text == "asprin 75 mg "
+    assert got.medications[0].frequency != "1-0-1"
+    none = one(spark, ocr.prescription_of(F.col("t")), t="nothing here")
+    assert none.error == "No JSON object found in text" and none.medications == [] and none.text == ""
+
+
+def test_slots_for_bytes_and_failing_items(spark):
+    def load():
+        def model(items):
+            if any(bytes(x) == b"bad" for x in items):
+                raise ValueError("bad")
+            return [bytes(x).decode().upper() for x in items]
+
+        return model
+
+    def back():
+        return lambda items: [bytes(x)[::-1] for x in items]
+
+    registry = slots.Registry()
+    registry.register(slots.Slot("ocr", load))
+    registry.register(slots.Slot("flip", back))
+    df = spark.createDataFrame([(1, b"ab"), (2, b"bad"), (3, None), (4, b"cd")], "i int, c binary").coalesce(1)
+    out = df.select("i", registry.read(F.col("c"), "ocr").alias("t"), registry.read(F.col("c"), "absent").alias("n"), registry.prepared(F.col("c"), "flip").alias("f"), registry.prepared(F.col("c")).alias("same")).orderBy("i").collect()
+    assert [r.t for r in out] == ["AB", None, None, "CD"] and {r.n for r in out} == {None}
+    assert [r.f and bytes(r.f) for r in out] == [b"ba", b"dab", None, b"dc"] and [r.same and bytes(r.same) for r in out] == [b"ab", b"bad", None, b"cd"]
+    tokens = F.from_json(F.lit('[{"word": "rash", "entity_group": "SIGN", "score": 0.5, "start": 3, "end": 7}]'), slots.TOKENS)
+    assert [tuple(e) for e in one(spark, slots.of_tokens(tokens), t="x")] == [("rash", "SIGN", 3, 7, 0.5)] and one(spark, slots.of_tokens(F.lit(None).cast(slots.TOKENS)), t="x") == []
