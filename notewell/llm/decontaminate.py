@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import Hashes, blocks, mix, spans
-from .runtime import prepare
+from .runtime import cut, prepare
 
 WINDOW = 32
 STEP = WINDOW // 2
@@ -30,6 +30,10 @@ ANSWER_WORDS = 4
 #: Words in a row that a text must share with an item to be a candidate without the cosine; an item of fewer words must be there whole.
 SHINGLE = 3
 ITEM_BLOCK = 1024
+#: Bytes of benchmark text that workers hold at a time (a longer item stands alone); a larger benchmark is searched in blocks, a scan each.
+ITEM_BYTES = 16 << 20
+#: Words that an item holds more often than this don't vote on where it stands in a text.
+RARE_IN_ITEM = 4
 _RUN = 4096
 
 _EDGE = np.zeros(256, bool)
@@ -262,11 +266,21 @@ class Items:
 
     @staticmethod
     def _best(item: np.ndarray, near: np.ndarray, hit: np.ndarray) -> tuple[int, int]:
-        """Common words with the stretch of the item's length (and a quarter more) that holds most of its words, and where that starts."""
+        """Most common words, and where it starts, of two stretches of the item's length (and a quarter more): that which holds most of its words, and
+        that in which most of them stand as far apart as in the item. Only the second finds a passage whose changed words are foreign to the item
+        while the text around uses the item's own common words."""
         n = min(len(near), len(item) + len(item) // 4 + 1)
         inside = np.convolve(hit, np.ones(n, np.int64), "valid")
-        at = int(inside.argmax())
-        return common_words(item, near[at : at + n]), at
+        starts = {int(inside.argmax())}
+        order = np.argsort(item, kind="stable")
+        first, count = np.searchsorted(item[order], near), np.searchsorted(item[order], near, "right") - np.searchsorted(item[order], near)
+        places = [(j - order[first[j] + k]) for k in range(RARE_IN_ITEM) for j in (np.flatnonzero((count > k) & (count <= RARE_IN_ITEM)),)]
+        shift = np.concatenate(places) + len(item)
+        if len(shift):
+            slack = len(item) // 8 + 1
+            votes = np.convolve(np.bincount(shift, minlength=slack), np.ones(slack, np.int64), "valid")
+            starts.add(min(max(int(votes.argmax()) - len(item), 0), len(near) - n))
+        return max((common_words(item, near[at : at + n]), at) for at in starts)
 
 
 def _holds(text: np.ndarray, part: np.ndarray) -> bool:
@@ -279,29 +293,45 @@ def _holds(text: np.ndarray, part: np.ndarray) -> bool:
 def leaks(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and benchmark item that it holds: ident, item, first_word, common_words, item_words, cosine, answer_found.
 
-    The benchmark is the stated query set: its texts go to every worker. Null or wordless texts, on either side, match nothing; the order of
-    first_word counts words with a letter, digit or non-ASCII character. Repeated documents are judged each; repeated items each report.
-    Columns beyond those named are ignored; an empty table on either side gives no rows.
+    The benchmark is the stated query set. Workers hold ITEM_BYTES of its text at a time: a larger one is dealt into blocks by a hash, each is
+    compared with all documents, and what a block found is written before the next one is loaded. Null or wordless texts, on either side, match
+    nothing; the order of first_word counts words with a letter, digit or non-ASCII character. Repeated documents are judged each; repeated items
+    each report. Columns beyond those named are ignored; an empty table on either side gives no rows.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     kinds = dict(docs.dtypes)[ident], dict(benchmark.dtypes)[item]
-    asked = [(i, t) for i, t in benchmark.where(F.col(item_text).isNotNull()).select(item, item_text).orderBy(item, item_text).toLocalIterator()]
+    schema = f"`{ident}` {kinds[0]}, `{item}` {kinds[1]}, first_word long, common_words long, item_words long, cosine double, answer_found boolean"
+    asked = benchmark.where(F.col(item_text).isNotNull()).groupBy(F.col(item).alias("i"), F.col(item_text).alias("t")).agg(F.count("*").alias("n"))
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("t") + 1), F.lit(0)).alias("n")).first()["n"]
+    n_blocks = -(-size // ITEM_BYTES)
+    if not n_blocks:
+        return spark.createDataFrame([], schema)
     idf, space = latent_space(docs, text)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items([i for i, _ in asked], [t for _, t in asked], idf, space)
-        kind = None
-        for x in batches:
-            for a, _, data, offsets in blocks(x.column(1)):
-                got = items.hits(data, offsets)
-                kind = kind or pa.array([i for i, _ in asked]).type
-                cols = list(zip(*got)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays(
-                    [x.column(0).take(pa.array([a + r for r in cols[0]], pa.int64())), pa.array([items.ids[i] for i in cols[1]], kind), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array([len(items.words[i]) for i in cols[1]], pa.int64()), pa.array(cols[4], pa.float64()), pa.array(cols[5], pa.bool_())],
-                    [ident, item, "first_word", "common_words", "item_words", "cosine", "answer_found"],
-                )
-
-    return docs.select(ident, text).mapInArrow(search, f"`{ident}` {kinds[0]}, `{item}` {kinds[1]}, first_word long, common_words long, item_words long, cosine double, answer_found boolean")
+    def found(block: int) -> DataFrame:
+        rows = asked.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == block).orderBy("i", "t").collect()
+        ids, texts, copies = [r.i for r in rows], [r.t for r in rows], np.array([r.n for r in rows], np.int64)
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = Items(ids, texts, idf, space)
+            kind = pa.array(ids).type
+            for x in batches:
+                for a, _, data, offsets in blocks(x.column(1)):
+                    got = [hit for hit in items.hits(data, offsets) for _ in range(copies[hit[1]])]
+                    cols = list(zip(*got)) or [[]] * 6
+                    yield pa.RecordBatch.from_arrays(
+                        [x.column(0).take(pa.array([a + r for r in cols[0]], pa.int64())), pa.array([ids[i] for i in cols[1]], kind), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array([len(items.words[i]) for i in cols[1]], pa.int64()), pa.array(cols[4], pa.float64()), pa.array(cols[5], pa.bool_())],
+                        [ident, item, "first_word", "common_words", "item_words", "cosine", "answer_found"],
+                    )
+
+        return docs.select(ident, text).mapInArrow(search, schema)
+
+    if n_blocks == 1:
+        return found(0)
+    out = cut(found(0))
+    for block in range(1, n_blocks):
+        out = out.unionByName(cut(found(block)))
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:

@@ -83,3 +83,48 @@ def test_clashing_columns_are_kept(spark):
     df = spark.createDataFrame([(1, item, 5, "x"), (2, "quite another text about bread and butter", 6, "y"), (None, None, 7, "z")], "doc_id long, text string, _hash long, k string")
     out = decontaminate(df, spark.createDataFrame([(0, item)], "item_id long, text string")).collect()
     assert sorted((r._hash, r.k) for r in out) == [(6, "y"), (7, "z")]
+
+
+def test_a_benchmark_in_blocks_finds_the_same(spark, monkeypatch):
+    items, docs, planted = _corpus()
+    rows = [*docs, *docs[:3]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([*items, items[0], items[0]], "item_id long, text string")
+    found = lambda: sorted((*r[:5], round(r.cosine, 4), r.answer_found) for r in D.leaks(df, bench).collect())
+    at_once = found()
+    assert sum(r[1] == 0 for r in at_once) == 3 * sum(i == 0 for d, i in planted.items() if d in dict(rows))
+    monkeypatch.setattr(D, "ITEM_BYTES", 400)
+    assert found() == at_once
+
+
+def test_directions_against_an_exact_decomposition(spark):
+    """The directions from the added-up Gram matrices are the right singular vectors of all passages' sketches, with singular values of one."""
+    _, docs, _ = _corpus()
+    idf, space = D.latent_space(spark.createDataFrame(docs, "doc_id long, text string").repartition(5))
+    rows = []
+    for _, _, data, offsets in D.blocks(D.pa.array([t for _, t in docs], D.pa.large_string())):
+        _, _, hashes, at = D.clean_words(data, offsets)
+        first, owner = D.steps_of(at)
+        rows.append(D.windows(D.sketches(hashes, first, idf), owner))
+    z = np.concatenate(rows).astype(np.float64)
+    _, value, right = np.linalg.svd(z, full_matrices=False)
+    good = np.flatnonzero(value**2 > value[0] ** 2 * 1e-7)[D.SHARED :]
+    assert space.shape[1] == len(good)
+    for j, k in list(enumerate(good))[:40]:
+        assert abs(abs(space[:, j] @ right[k]) * value[k] - 1) < 1e-2
+    assert np.allclose((z @ space).T @ (z @ space), np.eye(len(good)), atol=1e-2)
+
+
+def test_paraphrases_by_share_of_other_words(spark):
+    """Items of which 10, 20, 30 or 35 % of the words are others are all found, and nothing else is."""
+    items, docs, planted = _corpus()
+    rng, rows, held = random.Random(4), list(docs), dict(planted)
+    for k, (i, t) in enumerate(items):
+        for m, share in enumerate((0.10, 0.20, 0.30, 0.35)):
+            w = t.split()
+            for j in rng.sample(range(len(w)), round(share * len(w))):
+                w[j] = f"new{rng.randrange(99)}"
+            held[5000 + 10 * k + m] = i
+            rows.append((5000 + 10 * k + m, f"{docs[k][1]} {' '.join(w)} {docs[k + 20][1]}"))
+    found = {(r.doc_id, r.item_id) for r in D.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == set(held.items())
