@@ -6,7 +6,6 @@ the declared type is corrected to the one found at the start, and media embedded
 
 from __future__ import annotations
 
-import hashlib
 import re
 import struct
 import zlib
@@ -312,21 +311,29 @@ def text_media(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Da
     return docs.select(ident, text).mapInArrow(store, f"`{ident}` {kind}, n_bytes long, media binary")
 
 
-def media_digests(media: DataFrame, ident: str = "doc_id") -> DataFrame:
-    """Read stored blobs back through the sniffer and return digests of the payload and of the stored form, and a feature string."""
-    prepare(media.sparkSession)
-    kind = dict(media.dtypes)[ident]
+def media_digests(media: DataFrame, ident: str = "doc_id", declared: str | None = None) -> DataFrame:
+    """Digests of stored WAV blobs as the sniffer reads them back: of the payload, of the stored form and of what was carved, and a feature string.
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            rows = []
-            for m in x.column(2):
-                blob = m.as_buffer().to_pybytes()
-                payload, found = read_samples(blob)
-                inner = ",".join(f"{t}@{a}+{n}" for t, a, n, _ in found if a) or "none"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), f"{found[0][0]} {found[0][3]} embedded={inner}"))
-            cols = list(zip(*rows)) or [[]] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds))], [ident, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return media.select(ident, "n_bytes", "media").mapInArrow(digest, f"`{ident}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    media: ident, n_bytes, media and, if named, the column of the declared type. ``media_type`` is the corrected type, ``declared_ok`` whether the
+    declared one was right (null without one), ``n_embedded`` and ``embedded_bytes`` what was carved from within. A blob that is no WAV is an error.
+    """
+    said = F.col(declared) if declared else F.lit(None).cast("string")
+    seen = sniff_media(media.select(F.col(ident).alias("i"), F.col("n_bytes").alias("b"), F.col("media").alias("m"), said.alias("said")), "m", "said")
+    fact = lambda name: F.regexp_extract("details", rf"\b{name}=(\d+)", 1).cast("int")
+    right = F.col("valid") & (F.col("media_type") == "audio/wav")
+    payload = F.when(right, F.substring("m", fact("data_at") + 1, fact("data_bytes"))).otherwise(F.raise_error(F.lit("not a WAV blob")))
+    inner = F.array_join(F.transform("embedded", lambda e: F.format_string("%s@%d+%d", e["media_type"], e["start"], e["length"])), ",")
+    return seen.withColumn("p", payload).select(
+        F.col("i").alias(ident),
+        F.col("b").alias("n_bytes"),
+        F.octet_length("p").cast("long").alias("payload_bytes"),
+        F.sha2("p", 256).alias("payload_sha256"),
+        F.crc32(F.substring("p", -32, 32)).alias("tail_crc32"),
+        F.octet_length("m").cast("long").alias("media_bytes"),
+        F.sha2("m", 256).alias("media_sha256"),
+        F.concat("media_type", F.lit(" "), "details", F.lit(" embedded="), F.when(inner == "", "none").otherwise(inner)).alias("feature"),
+        "media_type",
+        "declared_ok",
+        F.size("embedded").cast("long").alias("n_embedded"),
+        F.aggregate("embedded", F.lit(0).cast("long"), lambda n, e: n + F.octet_length(e["content"])).alias("embedded_bytes"),
+    )

@@ -75,7 +75,8 @@ def op8_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_digests(media.text_media(table(spark, sf_dir, "documents")))
+    stored = media.text_media(table(spark, sf_dir, "documents")).withColumn("declared_type", F.lit("text/plain"))  # what the column was before
+    return media.media_digests(stored, declared="declared_type")
 
 
 def op10_piece_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:

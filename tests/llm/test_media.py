@@ -101,3 +101,30 @@ def test_null_ids_and_repeated_rows(spark):
     out = media.media_digests(media.text_media(df)).collect()
     assert len(out) == 4 and sorted(str(r.doc_id) for r in out) == ["1", "1", "None", "None"]
     assert len({r.media_sha256 for r in out}) == 1 and out[0].feature.startswith("audio/wav")
+
+
+def test_digests_report_corrected_types_and_what_was_carved(spark):
+    held = media.as_wav(b"ab" + GIF + b"cd" + _zip() + b"e")
+    df = spark.createDataFrame([(1, 5, held, "text/plain"), (2, 5, held, "audio/wav"), (3, 5, media.as_wav(b"plain"), None)], "length int, n_bytes long, media binary, said string")
+    out = {r.length: r for r in media.media_digests(df, "length", "said").collect()}
+    assert [out[i].declared_ok for i in (1, 2, 3)] == [False, True, None] and {r.media_type for r in out.values()} == {"audio/wav"}
+    assert [out[i].n_embedded for i in (1, 2, 3)] == [2, 2, 0] and out[1].embedded_bytes == len(GIF) + len(_zip())
+    assert out[1].feature.endswith(f"embedded=image/gif@46+{len(GIF)},application/zip@{48 + len(GIF)}+{len(_zip())}") and out[3].feature.endswith("embedded=none")
+    assert out[1].media_sha256 == hashlib.sha256(held).hexdigest()
+
+
+def test_features_of_the_query_against_a_plain_recomputation(spark):
+    from notewell.llm.queries import op9_signature_sniffing
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    out = op9_signature_sniffing(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in out) == sorted(texts)
+    for r in out:
+        blob = media.as_wav(media.text_payload(texts[r.doc_id]))
+        found = media.sniff(blob)
+        payload, _ = media.read_samples(blob)
+        inner = [x for x in found if x[1]]
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(blob), hashlib.sha256(blob).hexdigest())
+        assert r.feature == f"{found[0][0]} {found[0][3]} embedded={','.join(f'{t}@{a}+{n}' for t, a, n, _ in inner) or 'none'}"
+        assert (r.media_type, r.declared_ok, r.n_embedded) == ("audio/wav", False, len(inner))
