@@ -152,14 +152,49 @@ def fuzzy_spans(notes: DataFrame, vocabulary: rules.Vocabulary, ident: str = "no
     return hits.select(ident, F.substring(F.col("_t"), F.col("start") + 1, F.length("word")).alias("text"), "start", "end", "term", F.lit(0.8).alias("score"))
 
 
+#: Learned terms up to this many become part of the plan; more are joined as a table.
+MOST_IN_PLAN = 500
+
+
 def learned_spans(notes: DataFrame, knowledge: DataFrame, ident: str = "note_id", text: str = "text") -> DataFrame:
-    """(ident, text, label, start, end): matches of learned terms (knowledge: term, label), any case. Knowledge is a dimension of checked size."""
-    pairs = notes.join(knowledge, F.lower(F.col(text)).contains(F.lower("term")))
-    pattern = F.concat(F.lit(r"\Q"), F.lower("term"), F.lit(r"\E"))
-    found = pairs.select(ident, F.explode(spans(F.lower(F.col(text)), pattern, F.col("label"), 1.0, 7, F.col(text))).alias("s"))
+    """(ident, text, label, start, end): matches of learned terms (knowledge: term, label), any case; empty and null terms match nothing.
+
+    A knowledge table of at most MOST_IN_PLAN terms is looked for within each note's row. A larger one is joined: the terms by their first three
+    characters, with the runs of three characters of each distinct text; the texts come to the terms so found by their hash.
+    """
+    low = F.lower(F.col(text))
+    known = knowledge.select(F.lower("term").alias("t"), "label").where("t <> ''").distinct()
+    few = known.limit(MOST_IN_PLAN + 1).collect()
+    if len(few) <= MOST_IN_PLAN:
+        listed = F.from_json(F.lit(json.dumps([{"t": r["t"], "l": r["label"]} for r in few])), "array<struct<t:string,l:string>>")
+
+        def of(x: Column) -> Column:
+            return F.flatten(F.transform(F.filter(listed, lambda k: x.contains(k["t"])), lambda k: spans(x, _quoted(k["t"]), k["l"], 1.0, 7, F.col(text))))
+
+        found = notes.select(F.col(ident), F.explode(let(low, of)).alias("s"))
+    else:
+        keyed = notes.select(F.col(ident), F.col(text).alias("_text"), F.sha2(text, 256).alias("_key"))
+        runs = keyed.select("_key", F.lower("_text").alias("_low")).dropDuplicates(["_key"]).select("_key", F.explode(_starts(F.col("_low"))).alias("_run"))
+        near = runs.join(known.withColumn("_run", F.substring("t", 1, 3)), "_run").select("_key", "t", "label")
+        hit = keyed.join(near, "_key").where(F.lower("_text").contains(F.col("t")))
+        found = hit.select(F.col(ident), F.explode(spans(F.lower("_text"), _quoted(F.col("t")), F.col("label"), 1.0, 7, F.col("_text"))).alias("s"))
     return found.select(ident, "s.text", "s.label", "s.start", "s.end").distinct()
 
 
+def _quoted(term: Column) -> Column:
+    return F.concat(F.lit(r"\Q"), term, F.lit(r"\E"))
+
+
+def _starts(low: Column) -> Column:
+    """The distinct runs of one, two and three characters of a text."""
+
+    def runs(c: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(c, i), F.lit(""))
+        return F.array_distinct(F.concat(c, F.transform(c, lambda x, i: F.concat(x, at(i + 1))), F.transform(c, lambda x, i: F.concat(x, at(i + 1), at(i + 2)))))
+
+    return let(F.split(low, ""), runs)
+
+
 def extract(text: Column, vocabulary: rules.Vocabulary, mode: str = "strict") -> Column:
     """All rule layers in one array, by layer."""
     return F.concat(drug_spans(text, vocabulary), dosage_spans(text), frequency_spans(text, mode), condition_spans(text))

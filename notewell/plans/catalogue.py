@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import entities, fhir, knowledge, medications, ocr, phi, review, service, slots, spans
+from ..sources import readers
 from ..streaming import jobs
 from . import sqltext as q
 from .notes import DAMAGED, ENTITIES, NOTES, REVIEW, view
@@ -241,6 +242,30 @@ def span_learned(s, d):
     return spans.learned_spans(damaged(s, d), s.createDataFrame(LEARNED, "term string, label string"))
 
 
+@query(
+    """with k as (select distinct lower(unnest(regexp_extract_all(text, '[A-Za-z]{6,}'))) as term from benchmark),
+p as (select term, string_split(lower(text), term) as g from documents join k on contains(lower(text), term))
+select term, count(*) as texts, sum(len(g) - 1)::bigint as n from p group by 1"""
+)
+def span_learned_table(s, d):
+    words = table(s, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("term"))
+    found = spans.learned_spans(table(s, d, "documents"), words.distinct().withColumn("label", F.lit("TERM")), "doc_id")
+    return found.groupBy(F.lower("text").alias("term")).agg(F.countDistinct("doc_id").alias("texts"), F.count("*").alias("n"))
+
+
+ROUTED = """select doc_id, encode(text) as content, case doc_id % 4 when 0 then 'application/pdf' when 1 then 'image/png' when 2 then 'text/plain' end as content_type from documents"""
+
+
+@query(
+    f"""select doc_id, case when content_type = 'application/pdf' then 'pdf' when content_type like 'image/%' then 'image' else 'text' end as kind,
+ case when content_type like 'text/%' or content_type is null then decode(content) end as text, null::varchar as error from ({ROUTED})"""
+)
+def source_route(s, d):
+    kinds = F.element_at(F.array(F.lit("application/pdf"), F.lit("image/png"), F.lit("text/plain"), F.lit(None)), (F.col("doc_id") % 4 + 1).cast("int"))
+    files = table(s, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"), kinds.alias("content_type"))
+    return readers.routed(files).select("doc_id", "kind", "text", "error")
+
+
 @query(f"select label, count(*) as n from (select 'DOSAGE' as label from ({q.spans(f'({NOTES})', 'note_id', rules.DOSAGE, 'lower(text)')}) union all select 'FREQUENCY' from ({q.spans(f'({NOTES})', 'note_id', rules.FREQUENCY, 'lower(text)')})) group by 1")
 def span_union_layers(s, d):
     n = notes(s, d)

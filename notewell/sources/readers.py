@@ -33,12 +33,21 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = No
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, kind, text, content, error): text files decoded as UTF-8 (else an error), PDF and image bytes left for a plug-in."""
+    """(path, kind, text, content, error): files of a folder, routed by the type that their suffix stands for."""
     raw = spark.read.format("binaryFile").load(path)
     low = F.lower("path")
-    kind = F.when(low.endswith(".pdf"), "pdf").when(low.rlike(r"\.(png|jpe?g|gif|bmp|tiff?|webp)$"), "image").otherwise("text")
-    text = F.when(kind == "text", F.try_validate_utf8(F.col("content").cast("string")))
-    return raw.select("path", kind.alias("kind"), text.alias("text"), F.when(kind != "text", F.col("content")).alias("content"), F.when((kind == "text") & text.isNull(), "not UTF-8").alias("error"))
+    kind = F.when(low.endswith(".pdf"), "application/pdf").when(low.rlike(r"\.(png|jpe?g|gif|bmp|tiff?|webp)$"), "image/any").otherwise("text/plain")
+    return routed(raw.select("path", "content", kind.alias("content_type"))).select("path", "kind", "text", "content", "error")
+
+
+def routed(files: DataFrame, content: str = "content", content_type: str = "content_type") -> DataFrame:
+    """``files`` with kind, text and error, by MIME type: texts (all but PDF and images; also of no type) decoded as UTF-8, else an error, and no
+    longer held as bytes; PDF and image bytes left for a plug-in. Null content of a text has neither text nor error."""
+    kind = F.when(F.col(content_type) == "application/pdf", "pdf").when(F.col(content_type).startswith("image/"), "image").otherwise("text")
+    text = F.try_validate_utf8(F.col(content).cast("string"))
+    out = files.withColumn("kind", kind).withColumn("text", F.when(F.col("kind") == "text", text))
+    out = out.withColumn("error", F.when((F.col("kind") == "text") & F.col("text").isNull() & F.col(content).isNotNull(), "not UTF-8"))
+    return out.withColumn(content, F.when(F.col("kind") != "text", F.col(content)))
 
 
 def needs_ocr(page_text) -> "F.Column":

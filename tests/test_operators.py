@@ -237,3 +237,29 @@ def test_slots_for_bytes_and_failing_items(spark):
     assert [r.f and bytes(r.f) for r in out] == [b"ba", b"dab", None, b"dc"] and [r.same and bytes(r.same) for r in out] == [b"ab", b"bad", None, b"cd"]
     tokens = F.from_json(F.lit('[{"word": "rash", "entity_group": "SIGN", "score": 0.5, "start": 3, "end": 7}]'), slots.TOKENS)
     assert [tuple(e) for e in one(spark, slots.of_tokens(tokens), t="x")] == [("rash", "SIGN", 3, 7, 0.5)] and one(spark, slots.of_tokens(F.lit(None).cast(slots.TOKENS)), t="x") == []
+
+
+def test_learned_terms_in_the_plan_and_as_a_table(spark, monkeypatch):
+    texts = ["Fever and FEVER, x", "feverish a.b a+b", "", None, "ab", "Fever and FEVER, x", "x" * 3000 + "qz", "Ärger über ärger"]
+    terms = [("fever", "S"), ("FEVER", "T"), ("a.b", "U"), ("qz", "V"), ("x", "W"), ("ärger", "X"), ("", "Y"), (None, "Z")]
+    notes = spark.createDataFrame(list(enumerate(texts)), "note_id int, text string")
+    known = spark.createDataFrame(terms, "term string, label string")
+    expected = set()
+    for i, t in enumerate(texts):
+        for term, label in terms:
+            at = (t or "").lower().find(term.lower()) if term else -1
+            while at >= 0:
+                expected.add((i, t[at : at + len(term)], label, at, at + len(term)))
+                at = t.lower().find(term.lower(), at + len(term))
+    for most in (500, 0):
+        monkeypatch.setattr(spans, "MOST_IN_PLAN", most)
+        got = [tuple(r) for r in spans.learned_spans(notes, known).collect()]
+        assert len(got) == len(expected) and set(got) == expected
+
+
+def test_files_are_routed_by_type(spark):
+    rows = [(1, b"%PDF", "application/pdf"), (2, b"x", "image/webp"), (3, "é".encode(), "text/html"), (4, b"\xff", "text/plain"), (5, b"", None), (6, None, "text/plain")]
+    got = {r.id: r for r in readers.routed(spark.createDataFrame(rows, "id int, content binary, content_type string")).collect()}
+    assert [got[i].kind for i in range(1, 7)] == ["pdf", "image", "text", "text", "text", "text"]
+    assert [got[i].text for i in range(1, 7)] == [None, None, "é", None, "", None] and [got[i].error for i in (3, 4, 5, 6)] == [None, "not UTF-8", None, None]
+    assert bytes(got[1].content) == b"%PDF" and got[3].content is None
