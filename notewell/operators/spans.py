@@ -7,12 +7,16 @@ spans stay in an array of the note's row until a relational step explodes them.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import rules
 from ..functions.text import let
+from .terms import Index, search
 
 SPAN = "struct<text:string,label:string,start:int,end:int,score:double,layer:int>"
 
@@ -152,15 +156,16 @@ def fuzzy_spans(notes: DataFrame, vocabulary: rules.Vocabulary, ident: str = "no
     return hits.select(ident, F.substring(F.col("_t"), F.col("start") + 1, F.length("word")).alias("text"), "start", "end", "term", F.lit(0.8).alias("score"))
 
 
-#: Learned terms up to this many become part of the plan; more are joined as a table.
-MOST_IN_PLAN = 500
+#: Learned terms up to this many become part of the plan; of more, workers hold this many bytes at a time.
+MOST_IN_PLAN, TERM_BYTES = 500, 32 << 20
 
 
 def learned_spans(notes: DataFrame, knowledge: DataFrame, ident: str = "note_id", text: str = "text") -> DataFrame:
     """(ident, text, label, start, end): matches of learned terms (knowledge: term, label), any case; empty and null terms match nothing.
 
-    A knowledge table of at most MOST_IN_PLAN terms is looked for within each note's row. A larger one is joined: the terms by their first three
-    characters, with the runs of three characters of each distinct text; the texts come to the terms so found by their hash.
+    A knowledge table of at most MOST_IN_PLAN terms is looked for within each note's row. A larger one is handed to the workers as an index, TERM_BYTES
+    of terms at a time (dealt by a hash), and each block is one scan of the notes. Only notes that share an ident can give a span twice, so spans are
+    shuffled only if there are such.
     """
     low = F.lower(F.col(text))
     known = knowledge.select(F.lower("term").alias("t"), "label").where("t <> ''").distinct()
@@ -172,27 +177,32 @@ def learned_spans(notes: DataFrame, knowledge: DataFrame, ident: str = "note_id"
             return F.flatten(F.transform(F.filter(listed, lambda k: x.contains(k["t"])), lambda k: spans(x, _quoted(k["t"]), k["l"], 1.0, 7, F.col(text))))
 
         found = notes.select(F.col(ident), F.explode(let(low, of)).alias("s"))
-    else:
-        keyed = notes.select(F.col(ident), F.col(text).alias("_text"), F.sha2(text, 256).alias("_key"))
-        runs = keyed.select("_key", F.lower("_text").alias("_low")).dropDuplicates(["_key"]).select("_key", F.explode(_starts(F.col("_low"))).alias("_run"))
-        near = runs.join(known.withColumn("_run", F.substring("t", 1, 3)), "_run").select("_key", "t", "label")
-        hit = keyed.join(near, "_key").where(F.lower("_text").contains(F.col("t")))
-        found = hit.select(F.col(ident), F.explode(spans(F.lower("_text"), _quoted(F.col("t")), F.col("label"), 1.0, 7, F.col("_text"))).alias("s"))
-    return found.select(ident, "s.text", "s.label", "s.start", "s.end").distinct()
+        return found.select(ident, "s.text", "s.label", "s.start", "s.end").distinct()
+    held = F.octet_length("t") + F.coalesce(F.octet_length("label"), F.lit(0)) + 100  # an index takes about 100 bytes a term beside its letters
+    n_blocks = -(-known.agg(F.sum(held.cast("long")).alias("n")).first()["n"] // TERM_BYTES)
+    rows = notes.select(F.col(ident).alias("_ident"), F.col(text).alias("_text"), low.alias("_low"))
+    schema = StructType([rows.schema["_ident"], *StructType.fromDDL("text string, label string, start int, end int")])
+    found = union_layers(*(rows.mapInArrow(_searcher(known, i, n_blocks), schema) for i in range(n_blocks))).withColumnRenamed("_ident", ident)
+    if notes.isStreaming or not notes.groupBy(ident).count().where("count > 1").isEmpty():
+        return found.distinct()
+    return found
 
 
-def _quoted(term: Column) -> Column:
-    return F.concat(F.lit(r"\Q"), term, F.lit(r"\E"))
+def _searcher(known: DataFrame, block: int, n_blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    own = known.where(F.pmod(F.xxhash64("t", "label"), F.lit(n_blocks)) == block).select("t", F.col("label").cast("string").alias("label")).toArrow().combine_chunks()
+    if not own.num_rows:
+        return lambda batches: iter(())
+    index = Index(*(c.chunk(0) for c in own.columns))
 
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            yield from search(index, *x.columns, ["_ident", "text", "label", "start", "end"])
 
-def _starts(low: Column) -> Column:
-    """The distinct runs of one, two and three characters of a text."""
+    return look
 
-    def runs(c: Column) -> Column:
-        at = lambda i: F.coalesce(F.get(c, i), F.lit(""))
-        return F.array_distinct(F.concat(c, F.transform(c, lambda x, i: F.concat(x, at(i + 1))), F.transform(c, lambda x, i: F.concat(x, at(i + 1), at(i + 2)))))
 
-    return let(F.split(low, ""), runs)
+def _quoted(term: Column) -> Column:
+    return F.concat(F.lit(r"\Q"), term, F.lit(r"\E"))
 
 
 def extract(text: Column, vocabulary: rules.Vocabulary, mode: str = "strict") -> Column:

@@ -257,6 +257,37 @@ def test_learned_terms_in_the_plan_and_as_a_table(spark, monkeypatch):
         assert len(got) == len(expected) and set(got) == expected
 
 
+def matches(notes, terms):
+    """All (note, text, label, start, end) of terms, of each from the left without overlaps."""
+    out = set()
+    for i, t in notes:
+        for term, label in terms:
+            at = (t or "").lower().find(term.lower()) if term else -1
+            while at >= 0:
+                out.add((i, t[at : at + len(term)], label, at, at + len(term)))
+                at = t.lower().find(term.lower(), at + len(term))
+    return out
+
+
+@pytest.mark.parametrize("held", [32 << 20, 20_000])
+def test_many_learned_terms_need_no_join_and_no_shuffle(spark, monkeypatch, held):
+    monkeypatch.setattr(spans, "TERM_BYTES", held)
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("abÄ€ ") for _ in range(n))
+    notes = [(i, word(r.choice([0, 40, 900]))) for i in range(60)] + [(60, None), (61, "aa" * 40 + "B")]
+    terms = sorted({(word(r.randint(1, 7)), r.choice("LM")) for _ in range(900)} | {(notes[i][1][9:39], "LONG") for i in range(20)}) + [("a" * 20, None), ("", "L"), (None, "L"), ("ab" * 500, "L")]
+    known = spark.createDataFrame(terms, "term string, label string")
+    assert len({(t.lower(), k) for t, k in terms if t}) > spans.MOST_IN_PLAN
+    found = spans.learned_spans(spark.createDataFrame(notes, "note_id int, text string"), known)
+    got = [tuple(x) for x in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == matches(notes, terms)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    shared = [(i // 2, t) for i, t in notes[:20] * 2]
+    again = [tuple(x) for x in spans.learned_spans(spark.createDataFrame(shared, "note_id int, text string"), known).collect()]
+    assert len(again) == len(set(again)) and set(again) == matches(shared, terms)
+
+
 def test_files_are_routed_by_type(spark):
     rows = [(1, b"%PDF", "application/pdf"), (2, b"x", "image/webp"), (3, "é".encode(), "text/html"), (4, b"\xff", "text/plain"), (5, b"", None), (6, None, "text/plain")]
     got = {r.id: r for r in readers.routed(spark.createDataFrame(rows, "id int, content binary, content_type string")).collect()}
