@@ -157,7 +157,7 @@ def fuzzy_spans(notes: DataFrame, vocabulary: rules.Vocabulary, ident: str = "no
 
 
 #: Learned terms up to this many become part of the plan; of more, workers hold this many bytes at a time.
-MOST_IN_PLAN, TERM_BYTES = 500, 32 << 20
+MOST_IN_PLAN, TERM_BYTES = 32, 32 << 20
 
 
 def learned_spans(notes: DataFrame, knowledge: DataFrame, ident: str = "note_id", text: str = "text") -> DataFrame:

@@ -283,6 +283,8 @@ def test_many_learned_terms_need_no_join_and_no_shuffle(spark, monkeypatch, held
     assert len(got) == len(set(got)) and set(got) == matches(notes, terms)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
+    some = spans.learned_spans(spark.createDataFrame(notes, "note_id int, text string"), spark.createDataFrame(terms[:100], "term string, label string"))
+    assert "MapInArrow" in some._jdf.queryExecution().executedPlan().toString() and {tuple(x) for x in some.collect()} == matches(notes, terms[:100])
     shared = [(i // 2, t) for i, t in notes[:20] * 2]
     again = [tuple(x) for x in spans.learned_spans(spark.createDataFrame(shared, "note_id int, text string"), known).collect()]
     assert len(again) == len(set(again)) and set(again) == matches(shared, terms)
